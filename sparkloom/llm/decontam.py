@@ -121,7 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 ORACLE = """
 WITH tok AS (
   SELECT doc_id, t.p AS p, t.w AS w FROM (
-    SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+|[^\\p{L}\\p{N}\\p{M}]+'), (x, i) -> {'p': i, 'w': x})) AS t
+    SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+|[^\\p{L}\\p{N}\\p{M}]+'), lambda x, i: {'p': i, 'w': x})) AS t
     FROM documents WHERE doc_id IS NOT NULL)
 ), pos AS (
   SELECT doc_id, p, lower(w) AS w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY p) AS stop, length(w) AS len FROM tok
@@ -132,7 +132,7 @@ WITH tok AS (
   SELECT doc_id, start, max(stop) OVER g AS stop, string_agg(w, ' ') OVER g AS gram, count(*) OVER g AS n
   FROM word WINDOW g AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
 ), iw AS (
-  SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+'), x -> lower(x)) AS ws FROM benchmark
+  SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+'), lambda x: lower(x)) AS ws FROM benchmark
 ), ig AS (
   SELECT DISTINCT item_id, array_to_string(ws[i:i + 12], ' ') AS gram, least(len(ws), 13) AS n
   FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS i FROM iw WHERE len(ws) >= 5)

@@ -8,7 +8,8 @@ distances of a query to all 64 counted at once by carry-save adders, blocks drop
 every lane is past the radius. Groups are the connected components; the least doc_id stays.
 
 Banding is approximate: two signatures at distance d share one of B bands of b bits with probability
-1 - (1 - (1 - d/256)**b)**B. Null ids and documents without a word are in no group; rows that repeat
+1 - (1 - (1 - d/256)**b)**B, and B follows from b so that this is at least ``RECALL`` at the radius
+itself, whatever the size of the corpus; nearer pairs fare better. Null ids and documents without a word are in no group; rows that repeat
 a doc_id are one document. Buckets are compared whole, whatever their size; within one, only the
 edges of a star are kept for each local component, which loses no connection.
 """
@@ -26,7 +27,7 @@ from sparkloom.llm.arrowtext import U64, Words, chunks, codepoints, mix, signed
 from sparkloom.llm.common import checkpoint, texts
 from sparkloom.llm.components import connected_components
 
-BITS, RADIUS, BANDS, LEAST_BAND_BITS = 256, 42, 36, 16
+BITS, RADIUS, RECALL, LEAST_BAND_BITS = 256, 42, 0.9, 16
 #: A byte's bits, each in a byte of its own.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(np.uint64)[:, 0]
 SIG = [f"s{i}" for i in range(BITS // 64)]
@@ -216,7 +217,12 @@ def comparer(radius: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, band_bits: int | None = None) -> DataFrame:
+def bands_for(width: int, radius: int, recall: float = RECALL) -> int:
+    """The number of bands of ``width`` bits of which a pair at ``radius`` shares one with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - radius / BITS) ** width)))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int | None = None, band_bits: int | None = None) -> DataFrame:
     """doc_id, group_id, kept: the documents of all groups of two and more; group_id is the least doc_id."""
     fields = "doc_id long, " + ", ".join(f"{c} long" for c in SIG)
     sigs = checkpoint(texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(signatures, fields))
@@ -224,6 +230,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, b
     exact = sigs.join(whole, SIG).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     if band_bits is None:
         band_bits = max(LEAST_BAND_BITS, math.ceil(math.log2(max(2, sigs.count()))) - 2)
+    bands = bands or bands_for(band_bits, radius)
     keyed = whole.withColumnRenamed("rep", "doc_id").select("doc_id", *SIG).mapInArrow(banding(bands, band_bits), "key long, " + fields)
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(comparer(radius), "src long, dst long")
     found = connected_components(exact.union(near))
