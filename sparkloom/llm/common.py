@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,21 @@ def fresh(df: DataFrame, base: str) -> str:
     while base.lower() in have:
         base += "_"
     return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='shared-')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df written as Parquet to the shared folder and read again: no lineage, and its size is known to the planner."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(docs: DataFrame, expansion: float, target: int = 16 << 20) -> int:
+    """How many parts of about ``target`` bytes hold ``expansion`` times the text of docs; never fewer than Spark's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * expansion / target))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontam, simhash
+from sparkloom.llm import decontam, linededup, simhash
 from sparkloom.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op9_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_simhash, op9_decontamination)}
+    return {f.__name__: f for f in (op8_simhash, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op9_decontamination": decontam.ORACLE}
+    return {"op9_decontamination": decontam.ORACLE, "op10_line_dedup": linededup.ORACLE}
