@@ -35,6 +35,8 @@ from sparkloom.llm.tokens import VOCABULARY, token_lists
 CAPACITY = 4096
 #: Pieces of one class and bucket that a window ranks at a time.
 BUCKET_ROWS = 100_000
+#: Runs of a plan that are sent to every executor (48 bytes each); a longer plan is joined by a shuffle.
+BROADCAST_RUNS = 100_000
 
 
 class Classes:
@@ -203,6 +205,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     else:
         ranked = cut.withColumn("rank", within)
     table = spark.createDataFrame(runs, "size long, rank_from long, rank_to long, each long, first_bin long, place long")
+    if len(runs) <= BROADCAST_RUNS:  # a few for each size up to the capacity, however large the corpus
+        table = F.broadcast(table)
     at = F.col("rank") - F.col("rank_from")
     return ranked.join(table, (F.col("n_tokens") == F.col("size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))).select(
         "doc_id", "piece", "token_start", "n_tokens", (F.col("first_bin") + F.floor(at / F.col("each"))).alias("bin_id"), (F.col("place") + at % F.col("each") * F.col("n_tokens")).alias("bin_start")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,4 +34,4 @@ def flat_tokens(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row, and the n + 1 offsets of the texts."""
     lists = token_lists(column, path)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.uint32, int(offsets[-1])), offsets
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(offsets[-1])), offsets
