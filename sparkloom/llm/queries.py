@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import chat, decontam, fingerprints, langid, linededup, packing, pfor, simhash, urlfilter
+from sparkloom.llm import chat, decontam, fingerprints, langid, linededup, packing, passages, pfor, simhash, urlfilter
 from sparkloom.llm.common import table
 
 
+def op1_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprints, op3_language_id, op4_url_filter, op5_chat_format, op6_best_fit_packing, op7_token_blocks, op8_simhash, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_passages, op2_fingerprints, op3_language_id, op4_url_filter, op5_chat_format, op6_best_fit_packing, op7_token_blocks, op8_simhash, op9_decontamination, op10_line_dedup)}
 
 
 def oracle_sql() -> dict:
