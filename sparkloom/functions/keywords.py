@@ -36,8 +36,8 @@ PRIVATE = "_internal _private _impl Internal Private".split()
 
 def first_word(name: Column, words: list[str]) -> Column:
     """The first word of the list that the lower-cased name contains, or null."""
-    low = F.lower(name)
-    return F.coalesce(*(F.when(low.contains(w), F.lit(w)) for w in words))
+    low = F.lower(name)  # a filter over a constant array: one branch for each word would outgrow generated code
+    return F.get(F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w)), 0)
 
 
 def first_class(name: Column, classes: dict[str, list[str]]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import keywords as kw
 from sparkloom.operators import lookup as q
 
-NAME, SYMBOL = "read_file", 42
+NAME, SYMBOL, ACCESSED = "read_file", 42, 903
 NAMED = "(SELECT s.*, f.path, f.language, f.repo_label FROM symbols s JOIN files f ON f.id = s.file_id)"
 TEST_PATH = r"regexp_matches(path, 'test|spec|__tests__|(_test\.(rs|py|ts|js|go|java)|\.(test|spec)\.(ts|js))$')"
 VERB = "split_part(callee_name, '_', 1)"
