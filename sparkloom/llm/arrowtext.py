@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -30,6 +31,15 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: a worker waits for its next task beside a full heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def codepoints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,3 +55,15 @@ def parts_for(docs: DataFrame, expansion: float, target: int = 16 << 20) -> int:
     """How many parts of about ``target`` bytes hold ``expansion`` times the text of docs; never fewer than Spark's shuffle partitions."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * expansion / target))
+
+
+#: Ids that are sent to every executor (a hash table of some 25 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids; rows with a null id stay. The ids are counted before they are broadcast."""
+    gone = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "ids")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

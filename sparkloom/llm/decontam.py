@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowtext import Words, chunks, codepoints
-from sparkloom.llm.common import texts
+from sparkloom.llm.common import texts, without
 
 N_WORDS, LEAST_WORDS = 13, 5
 #: Characters of patterns in one automaton; a larger benchmark is scanned with several.
@@ -114,8 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, least:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold any pattern; rows with a null id stay."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contaminated(docs, benchmark))
 
 
 ORACLE = """

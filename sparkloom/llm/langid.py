@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import chunks, codepoints, fold
-from sparkloom.llm.common import fresh
+from sparkloom.llm.common import fresh, stored
 
 DIM, SYMBOLS, SAMPLE, LEAST_COSINE, LEAST_TRIPLES = 2048, 4096, 256, 0.09, 3
 #: Triples whose vectors are held at once, and documents times triples in a table of counts.
@@ -116,7 +116,7 @@ def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
     """
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(sample)))
-    chosen = rows.groupBy("lang", "slot").agg(F.min("hash").alias("hash"))
+    chosen = stored(rows.groupBy("lang", "slot").agg(F.min("hash").alias("hash")), "sample")  # ``sample`` rows a language, so the planner can broadcast them
     sums: dict[str, np.ndarray] = {}
     for r in rows.join(chosen, ["lang", "slot", "hash"], "left_semi").select("lang", "text").mapInArrow(_bundles, "lang string, v array<double>").toLocalIterator():
         sums[r[0]] = sums.get(r[0], 0) + np.array(r[1])

@@ -30,6 +30,8 @@ MIN_CHARS, EDITS = 24, 2
 ENTRY = np.dtype([("key", "<u8"), ("line", "<u8"), ("sig", "<u4")])
 #: Pairs compared at once in a segment group, and characters in a batch of verification.
 TILE, CELLS = 1 << 20, 1 << 22
+#: Lines to drop that are sent to every executor (some 20 MB); more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 
 
 class Lines:
@@ -248,7 +250,9 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     A column n_chars, where there is one, follows the new text. Other documents stay as they are.
     """
     text, lines, new = "text", fresh(docs, "dropped_lines"), fresh(docs, "new_text")
-    gone = repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set(F.col("line_no").cast("int")).alias(lines))
+    gone = stored(repeated_lines(docs, **options).groupBy("doc_id").agg(F.collect_set(F.col("line_no").cast("int")).alias(lines)), "dropped-lines")
+    if (gone.agg(F.sum(F.size(lines))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     out = docs.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
     out = out.withColumn(new, F.when(F.col(lines).isNull(), F.col(text)).otherwise(kept)).where(F.col(lines).isNull() | F.col(new).rlike(r"\S"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowtext import U64, Words, chunks, codepoints, mix, signed
-from sparkloom.llm.common import checkpoint, texts
+from sparkloom.llm.common import checkpoint, texts, without
 from sparkloom.llm.components import connected_components
 
 BITS, RADIUS, RECALL, LEAST_BAND_BITS = 256, 42, 0.9, 16
@@ -240,4 +240,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int | None = N
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group."""
     gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)
