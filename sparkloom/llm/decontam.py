@@ -58,6 +58,8 @@ def scanner(shard: list[tuple[str, int, list[int]]]):
         return _AUTOMATA[key]
 
     def scan(batches):
+        if not shard:
+            return
         find = automaton()
         for chunk in chunks(batches):
             codes, starts = codepoints(chunk.column("text"))
