@@ -101,7 +101,8 @@ def confidence(signals: dict[str, Column], depth: Column, mro_depth: Column, ari
     for name, holds in signals.items():
         total = total + F.when(holds, WEIGHTS[name]).otherwise(0.0)
     total = total + F.coalesce(PER_DEPTH * depth, F.lit(0.0)) + F.when(arity, ARITY_MATCH).when(~arity, ARITY_MISS).otherwise(0.0)
-    total = total + F.coalesce(F.get(F.array(*map(F.lit, MRO)), F.least(mro_depth, F.lit(len(MRO) - 1)).cast("int")), F.lit(0.0))
+    inherited = F.get(F.array(*map(F.lit, MRO)), F.least(mro_depth, F.lit(len(MRO) - 1)).cast("int"))
+    total = total + F.when(mro_depth.isNotNull(), inherited).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(linked, total).otherwise(total * UNLINKED)))
 
 
