@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import keywords as kw
 from sparkloom.operators import communities as g
+from sparkloom.operators import knowledge as k
 from sparkloom.operators import traverse as t
 
 NAME, SYMBOL, FLOW, SINK, START, GOAL = "open_file", 42, 223, 803, 4, 291
+LEAF, OTHER_LEAF = "core/auth/f0.py", "core/model/f32.ts"
 CALLS = "SELECT DISTINCT src_id AS src, dst_id AS dst FROM edges WHERE edge_kind = 'CALLS'"
 BACK = "SELECT DISTINCT dst_id AS src, src_id AS dst FROM edges WHERE edge_kind = 'CALLS'"
 NAMED_ROOTS = f"SELECT id FROM symbols WHERE name = '{NAME}'"
@@ -128,5 +130,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, word)
     "processes": (lambda c: g.processes(c, 6), _processes(6)),
     "process_steps": (lambda c: g.process_steps(g.processes(c, 5)), f"SELECT entry AS process_id, CAST(i - 1 AS BIGINT) AS step, CAST(string_split(trace, '>')[i] AS BIGINT) AS symbol_id FROM (SELECT *, unnest(range(1, steps + 1)) AS i FROM ({_processes(5)}))"),
     "evidence_path": (lambda c: g.beam(c, c.symbols.where(F.col("name") == NAME).select("id"), 3, 5), _beam(3, 5)),
+    "knowledge_nodes": (lambda c: k.nodes(c).select("id", "label", "name", F.to_json("properties").alias("properties")), """SELECT 'file:' || id AS id, 'File' AS label, path AS name, '{"language":"' || language || '","repo":"' || repo_label || '"}' AS properties FROM files
+UNION ALL SELECT 'sym:' || id, kind, name, '{"qualified_name":"' || qualified_name || '","exported":"' || is_exported || '"}' FROM symbols"""),
+    "knowledge_edges": (k.relationships, """SELECT src || '--' || type || '--' || dst AS id, src, dst, type, max(confidence) AS confidence FROM (SELECT 'sym:' || src_id AS src, 'sym:' || dst_id AS dst, edge_kind AS type, confidence FROM edges UNION ALL SELECT 'file:' || file_id, 'sym:' || id, 'DEFINES', 1.0 FROM symbols) GROUP BY src, type, dst"""),
+    "symbol_context": (lambda c: k.symbol_context(c, FLOW), f"""WITH e AS (SELECT *, CASE WHEN edge_kind = 'CALLS' THEN 'calls' WHEN edge_kind IN ('EXTENDS', 'IMPLEMENTS') THEN 'inheritance' WHEN edge_kind IN ('IMPORTS', 'USES') THEN 'imports' WHEN starts_with(edge_kind, 'ACCESSES') THEN 'accesses' ELSE 'other' END AS category FROM edges)
+SELECT category, 'out' AS direction, dst_id AS other FROM e WHERE src_id = {FLOW} UNION SELECT category, 'in', src_id FROM e WHERE dst_id = {FLOW} UNION SELECT 'data_flow', 'out', dst_symbol_id FROM data_flows WHERE src_symbol_id = {FLOW} UNION SELECT 'data_flow', 'in', src_symbol_id FROM data_flows WHERE dst_symbol_id = {FLOW}
+UNION SELECT 'structure', 'both', id FROM symbols WHERE file_id IN (SELECT file_id FROM symbols WHERE id = {FLOW}) AND id <> {FLOW}"""),
+    "folder_tree": (lambda c: k.folders(c.files.select("path")), "SELECT DISTINCT array_to_string(p[1:i], '/') AS u, array_to_string(p[1:i + 1], '/') AS v FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM files))"),
+    "shortest_tree_path": (lambda c: k.shortest_path(k.folders(c.files.select("path")), LEAF, OTHER_LEAF), f"""WITH RECURSIVE l AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS u, array_to_string(p[1:i + 1], '/') AS v FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM files))), b AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+w(path, e) AS (SELECT ['{LEAF}'], '{LEAF}' UNION ALL SELECT list_append(path, v), v FROM w JOIN b ON u = e WHERE len(path) <= 4 AND NOT list_contains(path, v)) SELECT array_to_string(path, ' > ') AS path, len(path) - 1 AS hops FROM w WHERE e = '{OTHER_LEAF}' ORDER BY hops, path LIMIT 1"""),
     "c3_linearisation": (lambda c: g.c3(c.heritage), None),
 }
