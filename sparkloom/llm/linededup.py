@@ -97,7 +97,7 @@ def _seeds(codes, starts, least: int, edits: int):
 
 def _entries(parts: int, least: int, edits: int):
     def emit(batches):
-        to = packed.Packer(parts)
+        to = packed.Packer(parts, once="line")
         for chunk in chunks(batches):
             _, entries = _seeds(*codepoints(chunk.column("text")), least, edits)
             yield from to.add(entries)

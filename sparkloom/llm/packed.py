@@ -15,8 +15,10 @@ HELD = 32 << 20
 
 
 class Packer:
-    def __init__(self, parts: int):
-        self.parts, self.held, self.size = parts, [], 0
+    def __init__(self, parts: int, once: str | None = None):
+        """once: a field; records with equal key and field are passed on once for each batch, so that what a
+        whole corpus repeats grows with the number of batches and not with that of its occurrences."""
+        self.parts, self.once, self.held, self.size = parts, once, [], 0
 
     def add(self, records: np.ndarray):
         """records: structured, with an evenly spread u64 field ``key``. Yields full batches."""
@@ -30,6 +32,11 @@ class Packer:
             return
         records = np.concatenate(self.held)
         self.held, self.size = [], 0
+        if self.once:
+            records = records[np.lexsort((records[self.once], records["key"]))]
+            new = np.ones(len(records), bool)
+            new[1:] = (records["key"][1:] != records["key"][:-1]) | (records[self.once][1:] != records[self.once][:-1])
+            records = records[new]
         part = ((records["key"] >> np.uint64(20)) % np.uint64(self.parts)).astype(np.uint16 if self.parts < 1 << 16 else np.uint32)
         records = records[np.argsort(part, kind="stable")]
         count = np.bincount(part, minlength=self.parts)
