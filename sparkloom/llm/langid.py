@@ -1,15 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter triple is bound into one vector: the
+Every letter has a random vector of +1 and -1. A letter pair or triple is bound into one vector: the
 vectors of its letters, rotated by two, one and no places, are multiplied component by component.
-A document is the sum (bundle) of the vectors of all its triples, a language the sum of the unit
-vectors of its training documents, and they are compared by cosine. Runs of anything that is no
-letter count as one separator.
+A document is the sum (bundle) of the vectors of all its pairs and triples, a language the sum of
+the unit vectors of its training documents, and they are compared by cosine. Runs of anything that
+is no letter count as one separator.
 
 Prototypes are trained on at most ``SAMPLE`` labelled documents of each language, taken by a hash of
-doc_id from the whole table. Unrelated vectors have cosines of about 1 / sqrt(DIM) = 0.02 either way; a
-document is accepted if it has at least ``LEAST_TRIPLES`` triples and
-its best cosine reaches ``LEAST_COSINE``, four times that. Null and empty texts, and every text where there is
+doc_id from the whole table. Unrelated vectors have cosines of about 1 / sqrt(DIM) = 0.02 either
+way; a document is accepted if it has at least ``LEAST_GRAMS`` pairs and triples and its best cosine
+reaches ``LEAST_COSINE``, four times that. Null and empty texts, and every text where there is
 nothing to train on, have a null language and are not accepted. Equal cosines go to the language
 first in the alphabet. Each row is judged by itself, so repeated ids do no harm.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from sparkloom.llm.arrowtext import chunks, codepoints, fold
 from sparkloom.llm.common import fresh, stored
 
-DIM, SYMBOLS, SAMPLE, LEAST_COSINE, LEAST_TRIPLES = 2048, 4096, 256, 0.09, 3
+DIM, SYMBOLS, SAMPLE, LEAST_COSINE, LEAST_GRAMS = 2048, 4096, 256, 0.09, 3
 #: Triples whose vectors are held at once, and documents times triples in a table of counts.
 SLICE, TABLE = 4096, 1 << 22
 
@@ -45,8 +45,8 @@ def _letters() -> list[np.ndarray]:
     return _LETTERS
 
 
-def triples(codes: np.ndarray, starts: np.ndarray):
-    """(row, first, second, third symbol) of every triple."""
+def symbols(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and symbol of the letters and separators that are left."""
     sym = fold(codes)
     sym = np.where((sym >= 48) & (sym < 58), 0, sym)
     if len(sym) and sym.max() >= SYMBOLS:
@@ -54,34 +54,18 @@ def triples(codes: np.ndarray, starts: np.ndarray):
     keep = sym > 0
     keep[1:] |= sym[:-1] > 0
     at = np.flatnonzero(keep)
-    row = np.searchsorted(starts, at, side="right") - 1
-    sym = sym[at].astype(np.int64)
-    ok = np.flatnonzero(row[2:] == row[:-2])
-    return row[ok], sym[ok], sym[ok + 1], sym[ok + 2]
+    return np.searchsorted(starts, at, side="right") - 1, sym[at].astype(np.int64)
 
 
-def document_vectors(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bundle of each row, and how many triples it has."""
-    n = len(starts) - 1
-    out = np.zeros((n, DIM), np.float32)
-    row, a, b, c = triples(codes, starts)
-    if not len(row):
-        return out, np.zeros(n, np.int64)
-    have = np.bincount(np.concatenate([a, b, c]), minlength=SYMBOLS)
-    letters = np.flatnonzero(have)
-    m = len(letters)
-    local = np.zeros(SYMBOLS, np.int64)
-    local[letters] = np.arange(m)
-    code = (local[a] * m + local[b]) * m + local[c]
-    if m**3 <= 1 << 24:
-        seen = np.zeros(m**3, bool)
+def _add(out: np.ndarray, row: np.ndarray, code: np.ndarray, most: int, vectors) -> None:
+    """Add the vectors of the n-grams, by code below ``most``, to their rows."""
+    n = len(out)
+    if most <= 1 << 24:
+        seen = np.zeros(most, bool)
         seen[code] = True
-        distinct = np.flatnonzero(seen)
-        place = np.cumsum(seen) - 1
-        code = place[code]
+        distinct, code = np.flatnonzero(seen), (np.cumsum(seen) - 1)[code]
     else:
         distinct, code = np.unique(code, return_inverse=True)
-    first, second, third = _letters()
     step = min(SLICE, max(1, TABLE // n))
     order = np.argsort(code, kind="stable") if len(distinct) > step else None
     for at in range(0, len(distinct), step):
@@ -92,9 +76,29 @@ def document_vectors(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
             use = order[np.searchsorted(code[order], at) : np.searchsorted(code[order], at + len(part))]
             r, k = row[use], code[use] - at
         counts = np.bincount(r * len(part) + k, minlength=n * len(part)).reshape(n, len(part)).astype(np.float32)
-        x, y, z = letters[part // (m * m)], letters[part // m % m], letters[part % m]
-        out += counts @ (first[x] * second[y] * third[z]).astype(np.float32)
-    return out, np.bincount(row, minlength=n)
+        out += counts @ vectors(part).astype(np.float32)
+
+
+def document_vectors(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each row, and how many n-grams it has."""
+    n = len(starts) - 1
+    out, size = np.zeros((n, DIM), np.float32), np.zeros(n, np.int64)
+    row, sym = symbols(codes, starts)
+    letters = np.flatnonzero(np.bincount(sym, minlength=SYMBOLS))
+    m = len(letters)
+    local = np.zeros(SYMBOLS, np.int64)
+    local[letters] = np.arange(m)
+    sym = local[sym]
+    first, second, third = _letters()
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    if len(pair):
+        _add(out, row[pair], sym[pair] * m + sym[pair + 1], m**2, lambda c: second[letters[c // m]] * third[letters[c % m]])
+        size += np.bincount(row[pair], minlength=n)
+    three = np.flatnonzero(row[2:] == row[:-2])
+    if len(three):
+        _add(out, row[three], (sym[three] * m + sym[three + 1]) * m + sym[three + 2], m**3, lambda c: first[letters[c // (m * m)]] * second[letters[c // m % m]] * third[letters[c % m]])
+        size += np.bincount(row[three], minlength=n)
+    return out, size
 
 
 def _bundles(batches):
@@ -142,7 +146,7 @@ def judge(column: pa.Array, names: list[str], profiles: np.ndarray, least_cosine
         margin = top
     none = n == 0
     language = pa.array([None if x else names[i] for i, x in zip(best, none)], pa.string())
-    return language, pa.array(top, mask=none), pa.array(margin.astype(np.float64), mask=none), pa.array((n >= LEAST_TRIPLES) & (top >= least_cosine))
+    return language, pa.array(top, mask=none), pa.array(margin.astype(np.float64), mask=none), pa.array((n >= LEAST_GRAMS) & (top >= least_cosine))
 
 
 def identify(docs: DataFrame, model=None, least_cosine: float = LEAST_COSINE) -> DataFrame:

@@ -52,9 +52,11 @@ def test_language_by_definition():
     for t, v, k in zip(texts, vec, n):
         s = re.sub(r"[\W\d]+", "\0", (t or "").lower()).lstrip("\0")
         want = np.zeros(langid.DIM)
+        for a, b in zip(s, s[1:]):
+            want += np.roll(letters[ord(a)], 1) * letters[ord(b)]
         for a, b, c in zip(s, s[1:], s[2:]):
             want += np.roll(letters[ord(a)], 2) * np.roll(letters[ord(b)], 1) * letters[ord(c)]
-        assert k == max(0, len(s) - 2) and np.array_equal(v, want)
+        assert k == max(0, len(s) - 1) + max(0, len(s) - 2) and np.array_equal(v, want)
 
 
 def test_language_cases(clashing, docs):
