@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(name: str):
+    """The column of this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list:
+    return [exact(c) for c in df.columns]
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     have = {c.lower() for c in df.columns}
@@ -66,4 +75,4 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     gone = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "ids")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(columns(docs))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import chunks, codepoints, fold
-from sparkloom.llm.common import fresh, stored
+from sparkloom.llm.common import columns, fresh, stored
 
 DIM, SYMBOLS, SAMPLE, LEAST_COSINE, LEAST_GRAMS = 2048, 4096, 256, 0.09, 3
 #: Triples whose vectors are held at once, and documents times triples in a table of counts.
@@ -169,4 +169,4 @@ def accepted(docs: DataFrame, model=None, least_cosine: float = LEAST_COSINE) ->
         for chunk in chunks(batches):
             yield chunk.append_column(keep, judge(chunk.column("text"), names, profiles, least_cosine)[-1])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())])).where(F.col(keep)).select(docs.columns)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())])).where(F.col(keep)).select(columns(docs))

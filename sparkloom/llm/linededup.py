@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import packed
 from sparkloom.llm.arrowtext import BASE_INV, U64, chunks, codepoints, mix, powers, prefix_hash, signed, span_hash
-from sparkloom.llm.common import checkpoint, fresh, parts_for, stored, texts
+from sparkloom.llm.common import checkpoint, exact, fresh, parts_for, stored, texts
 
 MIN_CHARS, EDITS = 24, 2
 ENTRY = np.dtype([("key", "<u8"), ("line", "<u8"), ("sig", "<u4")])
@@ -256,7 +256,7 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     out = docs.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n")
     out = out.withColumn(new, F.when(F.col(lines).isNull(), F.col(text)).otherwise(kept)).where(F.col(lines).isNull() | F.col(new).rlike(r"\S"))
-    columns = [F.col(new).alias(c) if c == text else F.when(F.col(lines).isNull(), F.col(c)).otherwise(F.char_length(new)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    columns = [F.col(new).alias(c) if c == text else F.when(F.col(lines).isNull(), F.col(c)).otherwise(F.char_length(new)).cast(t).alias(c) if c == "n_chars" else exact(c) for c, t in docs.dtypes]
     return out.select(columns)
 
 

@@ -14,7 +14,7 @@ def clashing(docs):
     """The same with columns of names that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ("accepted", "dropped_lines", "new_text", "group_id", "key", "line", "rank", "part", "payload", "Salt", "head", "chain", "n_tokens", "fingerprint")
+    names = ("accepted", "dropped_lines", "new_text", "group_id", "key", "line", "rank", "part", "payload", "Salt", "head", "chain", "a.b", "n_tokens", "fingerprint")
 
     def build(rows):
         df = docs(rows)
