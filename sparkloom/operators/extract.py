@@ -145,3 +145,52 @@ def tool_like(symbols: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """page_id, href of every link of a page, as often as it occurs."""
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+#: language -> patterns of an import: the source, then the names (a list joined by commas) if there are any
+IMPORTS: dict[str, list[tuple[str, int, int]]] = {
+    "python": [(r"^\s*from\s+(\S+)\s+import\s+\(?([\w\s,*]+)", 1, 2), (r"^\s*import\s+([\w.]+)", 1, 0)],
+    "typescript": [(r"^\s*import\s+(?:type\s+)?\{([^}]*)\}\s*from\s*['\"]([^'\"]+)", 2, 1), (r"^\s*import\s+(?:\*\s+as\s+)?(\w+)[^'\"]*from\s*['\"]([^'\"]+)", 2, 1), (r"require\(\s*['\"]([^'\"]+)", 1, 0)],
+    "rust": [(r"^\s*(?:pub\s+)?use\s+([\w:]+?)::\{?([\w\s,]+)\}?\s*;", 1, 2)], "go": [(r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$", 1, 0)], "java": [(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", 1, 0)], "kotlin": [(r"^\s*import\s+([\w.]+)", 1, 0)],
+    "csharp": [(r"^\s*using\s+([\w.]+)\s*;", 1, 0)], "c": [(r"^\s*#\s*include\s*\"([^\"]+)", 1, 0)], "cpp": [(r"^\s*#\s*include\s*\"([^\"]+)", 1, 0)], "ruby": [(r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)", 1, 0)],
+    "php": [(r"^\s*use\s+([\w\\\\]+)\s*;", 1, 0)], "swift": [(r"^\s*import\s+(\w+)", 1, 0)], "dart": [(r"^\s*import\s+['\"](?:package:\w+/)?([^'\"]+?)(?:\.dart)?['\"]", 1, 0)],
+}
+IMPORTS["javascript"] = IMPORTS["tsx"] = IMPORTS["typescript"]
+NO_CALLS = "if for while switch catch return def fn func fun function class struct sizeof match elif with assert except new await in and or not super lambda yield del raise throw".split()
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """path, language, line, source, imported_name: a row for each name; the last part of the source where none is listed."""
+    cases = None
+    for language, patterns in IMPORTS.items():
+        found = F.array(*(F.struct(F.regexp_extract("text", p, a).alias("source"), (F.regexp_extract("text", p, b) if b else F.lit("")).alias("names"), F.lit(i).alias("ord")) for i, (p, a, b) in enumerate(patterns)))
+        cases = F.when(F.col("language") == language, found) if cases is None else cases.when(F.col("language") == language, found)
+    hits = lines(files).select("path", "language", "line", F.get(F.filter(cases, lambda x: x["source"] != ""), 0).alias("x")).where("x IS NOT NULL")
+    last = F.regexp_extract("x.source", r"([^./:\\\\]+)/?$", 1)
+    names = F.when(F.trim("x.names") == "", F.array(last)).otherwise(F.transform(F.split("x.names", ","), lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+\w+|\s+$", ""))))
+    return hits.select("path", "language", "line", F.col("x.source").alias("source"), F.explode(names).alias("imported_name")).where("imported_name <> ''")
+
+
+def calls(files: DataFrame) -> DataFrame:
+    """path, line, receiver, callee_name, col of everything that looks like a call, but for keywords and the names that a line defines."""
+    defined_here = "".join(rf"(?<!\b{w} )" for w in ("def", "fn", "fun", "func", "function", "class"))
+    pattern = rf"(?:\b(\w+)(?:\.|::|->))?{defined_here}\b([A-Za-z_]\w*)\s*\("
+    rows = lines(files).where(F.col("language").isin("python", *DEFINITIONS) & ~F.col("language").isin("json", "yaml")).where(~F.col("text").rlike(r"^\s*(?:#|//|\*|--)"))
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("receiver"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("name"))
+    hits = rows.select("path", "line", "text", F.posexplode(pairs).alias("n", "x")).select("path", "line", "text", "n", F.nullif("x.receiver", F.lit("")).alias("receiver"), F.col("x.name").alias("callee_name"))
+    hits = hits.where(~F.col("callee_name").isin(NO_CALLS))
+    defined = definitions(files).select("path", "line", F.col("name").alias("callee_name"))
+    kept = hits.join(defined, ["path", "line", "callee_name"], "left_anti")
+    return kept.select("path", "line", "receiver", "callee_name", F.instr("text", F.concat("callee_name", F.lit("("))).cast("long").alias("col"))
+
+
+def parents(files: DataFrame) -> DataFrame:
+    """path, line, name, parent, heritage_kind of classes with a parent, line by line."""
+    ext = r"\b(?:class|struct|interface|trait)\s+(\w+)(?:<[^>]*>)?\s*(?:extends\s+|:\s*(?:public\s+)?|<\s*|\(\s*)([A-Z]\w*)"
+    impl = r"\bclass\s+(\w+).*?\bimplements\s+(\w+)"
+    rust = r"^\s*impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s+for\s+(\w+)"
+    x = F.explode(F.array(
+        F.struct(F.regexp_extract("text", ext, 1).alias("name"), F.regexp_extract("text", ext, 2).alias("parent"), F.lit("extends").alias("heritage_kind")),
+        F.struct(F.regexp_extract("text", impl, 1).alias("name"), F.regexp_extract("text", impl, 2).alias("parent"), F.lit("implements").alias("heritage_kind")),
+        F.struct(F.regexp_extract("text", rust, 2).alias("name"), F.regexp_extract("text", rust, 1).alias("parent"), F.lit("implements").alias("heritage_kind")))).alias("x")
+    return lines(files).select("path", "line", x).where("x.name <> '' AND x.parent <> ''").select("path", "line", "x.*")
