@@ -72,7 +72,7 @@ def mine_patterns(cat: Catalog, least_frequency: int = 3, least_dispersion: floa
     A row adds as many pairs (a, its kind) as rows of kind a came before it, so running counts for each kind do,
     and no row meets another.
     """
-    kinds = [r[0] for r in cat.evidence.select("kind").distinct().orderBy("kind").limit(100).collect()]  # the enumeration of kinds
+    kinds = [r[0] for r in cat.evidence.select("kind").where("kind IS NOT NULL").distinct().orderBy("kind").collect()]  # an enumeration, 13 in all
     w = Window.partitionBy("file").orderBy("timestamp_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.array(*(F.struct(F.lit(k).alias("a"), F.coalesce(F.sum((F.col("kind") == k).cast("long")).over(w), F.lit(0)).alias("n")) for k in kinds))
     pairs = cat.evidence.select("file", "kind", before.alias("x")).select("file", F.col("kind").alias("b"), F.explode("x").alias("x")).where("x.n > 0").groupBy(F.col("x.a").alias("a"), "b", "file").agg(F.sum("x.n").alias("n"))
