@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import chunks, codepoints, fold
-from sparkloom.llm.common import columns, fresh, stored
+from sparkloom.llm.common import stored
 
 DIM, SYMBOLS, SAMPLE, LEAST_COSINE, LEAST_GRAMS = 2048, 4096, 256, 0.09, 3
 #: Triples whose vectors are held at once, and documents times triples in a table of counts.
@@ -163,10 +163,13 @@ def identify(docs: DataFrame, model=None, least_cosine: float = LEAST_COSINE) ->
 def accepted(docs: DataFrame, model=None, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """The rows of docs that are accepted, with all their columns."""
     names, profiles = model or prototypes(docs)
-    keep = fresh(docs, "accepted")
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow takes no names with dots
+    text = plain[docs.columns.index("text")]
+    fields = [T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields)]
 
     def run(batches):
-        for chunk in chunks(batches):
-            yield chunk.append_column(keep, judge(chunk.column("text"), names, profiles, least_cosine)[-1])
+        for chunk in chunks(batches, text):
+            yield chunk.append_column("keep", judge(chunk.column(text), names, profiles, least_cosine)[-1])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(keep, T.BooleanType())])).where(F.col(keep)).select(columns(docs))
+    judged = docs.toDF(*plain).mapInArrow(run, T.StructType([*fields, T.StructField("keep", T.BooleanType())]))
+    return judged.where("keep").select(*(F.col(c).alias(name) for c, name in zip(plain, docs.columns)))
