@@ -1,10 +1,10 @@
 """Line dedup by a segment-partition edit join.
 
 A line is a stretch of text between line feeds, without the spaces, tabs and carriage returns
-around it. A line of at least ``MIN_CHARS`` characters repeats if a line at an earlier place
-(doc_id, then line number) is within ``EDITS`` edits of it; shorter lines never count.
+around it. A line that isn't empty repeats if a line at an earlier place (doc_id, then line number)
+is equal to it, or, where both have at least ``NEAR_CHARS`` characters, within ``EDITS`` edits of it.
 
-Each distinct line is cut into EDITS + 1 even segments, of which two lines within EDITS edits share
+Equal lines meet by hash, whatever their length. For the others each distinct line is cut into EDITS + 1 even segments, of which two lines within EDITS edits share
 one at nearly the same place. The segments are index entries under (length, which segment, content);
 a line probes the entries of its own and of the lengths up to EDITS shorter with the few substrings
 that the position windows leave. Entries carry the parity of 32 character classes, of which an edit
@@ -26,7 +26,9 @@ from sparkloom.llm import packed
 from sparkloom.llm.arrowtext import BASE_INV, U64, chunks, codepoints, mix, powers, prefix_hash, signed, span_hash
 from sparkloom.llm.common import checkpoint, exact, fresh, parts_for, stored, texts
 
-MIN_CHARS, EDITS = 24, 2
+EDITS = 2
+#: Least characters of lines that are compared by edits: three quarters of such a line stay as they are.
+NEAR_CHARS = 4 * EDITS
 ENTRY = np.dtype([("key", "<u8"), ("line", "<u8"), ("sig", "<u4")])
 #: Pairs compared at once in a segment group, and characters in a batch of verification.
 TILE, CELLS = 1 << 20, 1 << 22
@@ -221,13 +223,17 @@ def _verify(edits: int):
     return verify
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, of_doc_id, of_line_no, edits: each line that repeats, and the earliest line that it repeats."""
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """doc_id, line_no, of_doc_id, of_line_no, edits: each line that repeats, and the earliest line that it repeats.
+
+    Lines under ``least`` characters are left out; those under ``near_chars`` repeat equal lines only.
+    """
+    near_chars = max(near_chars, least, edits + 1)  # no segment may be empty
     docs = texts(docs).where(F.col("doc_id").isNotNull())
     parts = parts_for(docs, 1.0)
-    pairs = stored(docs.mapInArrow(_entries(parts, least, edits), packed.SCHEMA).groupBy("part").applyInArrow(_candidates(edits), "a long, b long").distinct(), "line-pairs")
+    pairs = stored(docs.mapInArrow(_entries(parts, near_chars, edits), packed.SCHEMA).groupBy("part").applyInArrow(_candidates(edits), "a long, b long").distinct(), "line-pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line-names")
-    line_text = stored(docs.mapInArrow(_line_texts(least), "line long, text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")), "line-texts")
+    line_text = stored(docs.mapInArrow(_line_texts(near_chars), "line long, text string").join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")), "line-texts")
     both = pairs.join(line_text.select(F.col("line").alias("a"), F.col("text").alias("text_a")), "a").join(line_text.select(F.col("line").alias("b"), F.col("text").alias("text_b")), "b")
     near = both.mapInArrow(_verify(edits), "a long, b long, edits int")
 

@@ -76,3 +76,34 @@ def test_long_line(docs):
     long = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 300_000))
     found = L.repeated_lines(docs([(1, long), (2, long[:150_000] + "#" + long[150_001:])])).collect()
     assert [tuple(r) for r in found] == [(2, 0, 1, 0, 1)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_short_lines_repeat(docs, seed):
+    rng = random.Random(seed)
+    rows = texts(seed) + [(200 + i, "\n".join(rng.choice(["}", "é", " ab\t", "Ietzte.", "Ietzta.", "And ornd.", "And ornd", "", "  "]) for _ in range(5))) for i in range(8)]
+    short = lambda a: len(a) < L.NEAR_CHARS
+    lines = {(d, i): x.strip(" \t\r") for d, t in rows if d is not None and t for i, x in enumerate(t.split("\n"))}
+    first = {}
+    for place in sorted(lines):
+        first.setdefault(lines[place], place)
+    want = {(*p, *first[x], 0) for p, x in lines.items() if x and short(x) and p != first[x]} | brute(rows, L.EDITS, L.NEAR_CHARS)
+    assert sum(short(lines[r[:2]]) for r in want) > 10
+    assert {tuple(r) for r in L.repeated_lines(docs(rows)).collect()} == want
+
+
+def test_drop_short_lines(docs):
+    rows = [(1, "Ietzte.\n\nIetzte.\nIetzta."), (2, "Ietzte."), (3, "x\n}\n}")]
+    assert {(r.doc_id, r.text) for r in L.drop_repeated_lines(docs(rows)).collect()} == {(1, "Ietzte.\n\nIetzta."), (3, "x\n}")}
+
+
+def test_whole_table(spark):
+    """The registered SQL without its least length for equal lines, and with that of the edit join."""
+    from tests.conftest import compared
+
+    cut, order = "length(l) >= 24", "a.first < b.first\n"
+    assert L.ORACLE.count(cut) == L.ORACLE.count(order) == 1
+    sql = L.ORACLE.replace(cut, "length(l) >= 1").replace(order, f"a.first < b.first AND least(a.n, b.n) >= {L.NEAR_CHARS}\n")
+    folder = "/root/testdata/sf0.01"
+    ours, theirs = compared(L.repeated_lines(spark.read.parquet(f"{folder}/documents.parquet")), sql, folder)
+    assert ours == theirs
