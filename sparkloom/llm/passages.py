@@ -12,7 +12,8 @@ words less ``GAP`` for each word that it skips on either side; the best predeces
 Fenwick tree over places in the other document. Chains are taken by score, each match once. Then
 each chain is aligned on the words of both texts: equal words on the diagonals, the longest common
 subsequence (bit-parallel) between them, and an extension at both ends while it pays. A chain is a
-passage if it has ``MIN_WORDS`` words on both sides and ``IDENTITY`` of them are aligned.
+passage if it has ``MIN_WORDS`` words on both sides and ``IDENTITY`` of them are aligned; one that
+falls short is cut where it skips most words, and its parts are tested in the same way.
 
 Null ids and null, empty or shorter texts have no passage; repeats within a document don't count.
 Rows that repeat a doc_id are taken as one document. The search is approximate only in fuzzy
@@ -236,6 +237,56 @@ def align(a: np.ndarray, a_begin: int, b: np.ndarray, b_begin: int, at, of_at, n
     return start - more + a_begin, end + further + a_begin, of_start - more + b_begin, of_end + further + b_begin, hits
 
 
+def passes(found: tuple[int, int, int, int, int]) -> bool:
+    s, e, t, f, hits = found
+    return min(e - s, f - t) >= MIN_WORDS and hits >= IDENTITY * max(e - s, f - t)
+
+
+def passages_of(a: np.ndarray, a_begin: int, b: np.ndarray, b_begin: int, at, of_at, n) -> list[tuple[int, int, int, int, int]]:
+    """The passages of a chain, as ``align`` has them: the whole, or else those of its parts.
+
+    Parts consist of stretches of equal words. Each is extended by at most ``MARGIN`` words, as a chain is;
+    a part that lies within a longer passage isn't another one.
+    """
+    whole = align(a, a_begin, b, b_begin, at, of_at, n)
+    if passes(whole):
+        return [whole]
+    at, of_at, n = (np.asarray(x).astype(np.int64) for x in (at, of_at, n))
+    start, of_start, size = [], [], []
+    for x, y, m in zip(at - a_begin, of_at - b_begin, n):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], a[x : x + m] == b[y : y + m], [0]])))
+        start.append(x + edge[::2])
+        of_start.append(y + edge[::2])
+        size.append(edge[1::2] - edge[::2])
+    start, of_start, size = (np.concatenate(x) for x in (start, of_start, size))
+    end, of_end = start + size, of_start + size
+    skipped = start[1:] - end[:-1], of_start[1:] - of_end[:-1]
+    common = np.array([common_words(a[end[i] : start[i + 1]], b[of_end[i] : of_start[i + 1]]) for i in range(len(start) - 1)], np.int64)
+    cost = skipped[0] + skipped[1] - 2 * common
+    hits = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(common)])
+    found, todo = [], [(0, len(start))]
+    while todo:
+        i, j = todo.pop()
+        if i == j:
+            continue
+        s, t, e, f = int(start[i]), int(of_start[i]), int(end[j - 1]), int(of_end[j - 1])
+        left, right = min(s, t, MARGIN), min(len(a) - e, len(b) - f, MARGIN)
+        before, after = a[s - left : s][::-1] == b[t - left : t][::-1], a[e : e + right] == b[f : f + right]
+        more, further = _further(before), _further(after)
+        aligned = int(hits[0][j] - hits[0][i] + hits[1][j - 1] - hits[1][i] + before[:more].sum() + after[:further].sum())
+        part = s - more + a_begin, e + further + a_begin, t - more + b_begin, f + further + b_begin, aligned
+        if passes(part):
+            found.append((part, (s + a_begin, e + a_begin, t + b_begin, f + b_begin)))
+        elif j - i > 1:
+            cut = i + 1 + int(cost[i : j - 1].argmax())
+            todo += [(cut, j), (i, cut)]
+    out: list[tuple[int, int, int, int, int]] = []
+    for part, (s, e, t, f) in sorted(found, key=lambda x: (x[0][0] - x[0][1], x[0])):
+        if not any(p[0] <= s and e <= p[1] and p[2] <= t and f <= p[3] for p in out):
+            out.append(part)
+    return sorted(out)
+
+
 def _align(batches):
     for batch in batches:
         out = []
@@ -246,8 +297,7 @@ def _align(batches):
             at, of_at, n, a, b = (v[o[i] : o[i + 1]] for v, o in (lists[c] for c in ("at", "of_at", "n", "words", "of_words")))
             if at[-1] + n[-1] - begin[i] > len(a) or of_at[-1] + n[-1] - of_begin[i] > len(b):
                 continue  # cut from another row with the same doc_id
-            s, e, t, f, hits = align(a, int(begin[i]), b, int(of_begin[i]), at, of_at, n)
-            if min(e - s, f - t) >= MIN_WORDS and hits >= IDENTITY * max(e - s, f - t):
+            for s, e, t, f, hits in passages_of(a, int(begin[i]), b, int(of_begin[i]), at, of_at, n):
                 out.append((i, s, e, t, f, hits / max(e - s, f - t)))
         if out:
             i, s, e, t, f, identity = zip(*out)

@@ -157,3 +157,31 @@ def test_every_exact_repeat_has_a_seed():
             key, _, _ = passages.seed_places(Words(*codepoints(pa.array([around]))))
             keys.append(set(key.tolist()))
         assert keys[0] & keys[1]
+
+
+def _covered(found, doc):
+    return {w for r in found if r.doc_id == doc for w in range(r.first_word, r.end_word)}
+
+
+def test_passages_apart(docs):
+    """Passages with unrelated text between them, on both sides or on one, that don't make one passage."""
+    p, q, u, v, x = text(100, 200), text(100, 201), text(60, 202), text(60, 203), text(60, 204)
+    rows = [(1, f"{p} {text(100, 210)} {q}"), (2, f"{p} {text(100, 211)} {q}"), (3, f"{u} {text(50, 212)} {v}"), (4, f"{u} {text(50, 213)} {v}")]
+    rows += [(5, f"{x} {text(100, 214)} {text(60, 205)}"), (6, f"{x} {text(60, 205)}")]
+    found = passages.repeated_passages(docs(rows)).collect()
+    spans = lambda d: sorted((r.of_doc_id, r.first_word, r.end_word, r.of_first_word, r.of_end_word) for r in found if r.doc_id == d)
+    assert spans(2) == [(1, 0, 100, 0, 100), (1, 200, 300, 200, 300)]
+    assert spans(4) == [(3, 0, 60, 0, 60), (3, 110, 170, 110, 170)]
+    assert spans(6) == [(5, 0, 60, 0, 60), (5, 60, 120, 160, 220)]
+    assert len(found) == 6 and all(r.identity == 1 for r in found)
+
+
+def test_parts_of_a_run():
+    """A copy that goes on with few equal words on the same diagonal is found alone."""
+    g = np.random.default_rng(5)
+    a = g.integers(0, 1 << 30, 400).astype(np.int32)
+    b = g.integers(0, 1 << 30, 400).astype(np.int32)
+    b[50:110] = a[50:110]
+    for i in range(126, 340, 24):
+        b[i : i + 8] = a[i : i + 8]
+    assert passages.passages_of(a, 0, b, 0, [50], [50], [292]) == [(50, 110, 50, 110, 60)]
