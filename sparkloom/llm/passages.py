@@ -3,7 +3,8 @@
 Texts are sequences of folded words. Seeds are closed syncmers: runs of ``K`` words whose least word
 hash is at their first or last place. The choice depends on nothing but the run, and any exact
 repeat of 2 * K - 1 words holds a seed. All seeds meet by hash, and each occurrence is matched with
-the earliest document that has the seed: the r-th place there with the r-th place here. A document
+the earliest document that has the seed: the r-th place there with the r-th place here, and beyond
+its last place with its first again, so that every copy keeps to a diagonal. A document
 is so compared with the earliest holder of each of its seeds, and the number of matches never
 exceeds that of seeds, however many documents share a passage.
 
@@ -82,9 +83,9 @@ def match_seeds(seeds: np.ndarray) -> np.ndarray:
     nth = np.arange(len(key)) - start[run]
     head = run[first][group]  # the run of the earliest document
     have = np.diff(np.append(start, len(key)))[head]
-    use = np.flatnonzero((run != head) & (nth < have))
+    use = np.flatnonzero(run != head)
     out = np.empty(len(use), MATCH)
-    other = start[head[use]] + nth[use]
+    other = start[head[use]] + nth[use] % have[use]
     out["doc"], out["of"], out["at"], out["of_at"] = doc[use], doc[other], at[use], at[other]
     out["key"] = mix(out["doc"].view(U64), 2)
     return out

@@ -185,3 +185,15 @@ def test_parts_of_a_run():
     for i in range(126, 340, 24):
         b[i : i + 8] = a[i : i + 8]
     assert passages.passages_of(a, 0, b, 0, [50], [50], [292]) == [(50, 110, 50, 110, 60)]
+
+
+def test_passage_twice_in_a_later_document(docs):
+    """Every copy counts, also one of which a part is quoted before."""
+    p, q, z = text(60, 220), text(150, 221), text(50, 222)
+    rows = [(1, f"{text(30, 230)} {p} {text(30, 231)}"), (2, f"{p} {text(80, 232)} {p} {text(90, 233)} {p}"), (3, q), (4, f"{' '.join(q.split()[:60])} {text(70, 234)} {q}")]
+    rows += [(5, f"{z} {text(70, 235)} {z}"), (6, f"{z} {text(70, 236)} {z} {text(70, 237)} {z}")]
+    found = passages.repeated_passages(docs(rows)).collect()
+    assert _covered(found, 2) == {*range(60), *range(140, 200), *range(290, 350)}
+    assert _covered(found, 4) == {*range(60), *range(130, 280)}
+    assert _covered(found, 6) == {*range(50), *range(120, 170), *range(240, 290)}
+    assert {(r.doc_id, r.of_doc_id) for r in found} == {(2, 1), (4, 3), (6, 5)}
