@@ -44,7 +44,7 @@ BUDGET = f"""p AS (SELECT * FROM ({_beam(3, 5)}) QUALIFY row_number() OVER (PART
 
 
 def _bundle(c):
-    return g.beam(c, c.symbols.where(F.col("name") == "open_file").select("id"), 3, 5)
+    return g.beam(c, c.symbols.where(F.col("name") == "open_file").select("id"))
 
 
 def _pages_as_files(c):
@@ -71,7 +71,7 @@ SELECT id, name, round(score * (1 + 0.3 * r / greatest(max(r) OVER (), 1)), 6) A
     "semantic_search": (lambda c: search.nearest(c.embeddings, 7), NEAREST.format(7, 10)),
     "rank_fusion": (lambda c: search.fuse(search.ranked(search.nearest(c.embeddings, 7, 30), "vec_id", "similarity"), search.ranked(search.nearest(c.embeddings, 11, 30), "vec_id", "similarity"), "vec_id"), f"""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) - 1 AS r FROM ({NEAREST.format(7, 30)})), b AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) - 1 AS r FROM ({NEAREST.format(11, 30)}))
 SELECT vec_id, round(coalesce(0.5 / (61 + a.r), 0) + coalesce(0.5 / (61 + b.r), 0), 9) AS score FROM a FULL JOIN b USING (vec_id)"""),
-    "process_search": (lambda c: search.process_search(c, g.process_steps(g.processes(c, 5)), "read token"), f"""WITH st AS (SELECT entry AS process_id, CAST(unnest(string_split(trace, '>')) AS BIGINT) AS id FROM ({_processes(5)})), n AS (SELECT process_id, count(*) FILTER (contains(name, 'read') OR contains(name, 'token')) AS hits, count(*) AS steps FROM st JOIN symbols s ON s.id = st.id GROUP BY process_id)
+    "process_search": (lambda c: search.process_search(c, g.process_steps(g.processes(c)), "read token"), f"""WITH st AS (SELECT entry AS process_id, CAST(unnest(string_split(trace, '>')) AS BIGINT) AS id FROM ({_processes(5)})), n AS (SELECT process_id, count(*) FILTER (contains(name, 'read') OR contains(name, 'token')) AS hits, count(*) AS steps FROM st JOIN symbols s ON s.id = st.id GROUP BY process_id)
 SELECT * FROM n WHERE hits > 0 ORDER BY hits DESC, steps DESC, process_id LIMIT 20"""),
     "text_relevance": (lambda c: search.text_relevance(c, "token"), rf"""WITH r AS (SELECT id, name, CASE WHEN lower(name) = 'token' THEN 1.0 WHEN starts_with(lower(name), 'token') THEN 0.7 WHEN regexp_matches(name, '{SESSION}') THEN 0.5 WHEN contains(lower(name), 'token') THEN 0.4 ELSE 0 END AS relevance FROM symbols) SELECT id, name, CAST(relevance AS DOUBLE) AS relevance FROM r WHERE relevance > 0 ORDER BY relevance DESC, id LIMIT 50"""),
     "budget_paths": (lambda c: search.within_budget(_bundle(c).withColumn("tokens", (F.col("node") % 97) * 10 + 50), "seed", [(-F.col("confidence")).alias("a"), F.col("path").alias("b")], "tokens", 900), None),

@@ -105,3 +105,18 @@ def test_sql_gate(spark):
     for bad in ("DROP TABLE symbols", "INSERT INTO symbols VALUES (1)", "SET a = b", "SELECT * FROM secrets", "SELECT * FROM parquet.`/etc`", "CREATE TABLE t AS SELECT 1"):
         with pytest.raises(ValueError):
             sqlgate.run(cat, bad, tables)
+
+
+@pytest.mark.parametrize("name", ["call_cycles", "trace_paths", "processes", "process_steps", "process_search", "evidence_path", "evidence_bundle"])
+def test_registered_depth(spark, sf, name):
+    """The registered SQL, carried on to the depths that the operators have, agrees with the queries."""
+    from sparkloom import registry
+    from sparkloom.queries import graph
+    from tests.conftest import compared
+
+    sql = was = registry.oracle_sql()[name]
+    for a, b in (("depth < 10)", "depth < 20)"), ("len(path) <= 4 AND p.e", "len(path) <= 6 AND p.e"), *((a[5:], b[5:]) for a, b in ((graph._processes(6), graph._processes(10)), (graph._processes(5), graph._processes(10)), (graph._beam(3, 5), graph._beam(5, 5))))):
+        sql = sql.replace(a, b)
+    assert sql != was
+    ours, theirs = compared(registry.queries()[name](spark, sf), sql, sf)
+    assert ours == theirs
