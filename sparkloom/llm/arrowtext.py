@@ -18,8 +18,8 @@ BASE = U64(0x9E3779B97F4A7C15)  # odd, so powers have inverses modulo 2**64
 BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about ``limit`` bytes of ``text`` each."""
+def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about ``limit`` bytes of ``text`` each, and at most ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -28,7 +28,7 @@ def chunks(batches, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
     release()

@@ -7,27 +7,48 @@ the unit vectors of its training documents, and they are compared by cosine. Run
 is no letter count as one separator.
 
 Prototypes are trained on at most ``SAMPLE`` labelled documents of each language, taken by a hash of
-doc_id from the whole table. Unrelated vectors have cosines of about 1 / sqrt(DIM) = 0.02 either
-way; a document is accepted if it has at least ``LEAST_GRAMS`` pairs and triples and its best cosine
-reaches ``LEAST_COSINE``, four times that. Null and empty texts, and every text where there is
-nothing to train on, have a null language and are not accepted. Equal cosines go to the language
-first in the alphabet. Each row is judged by itself, so repeated ids do no harm.
+doc_id from the whole table, and as many others calibrate what is accepted. Texts in one alphabet
+share letters and so have cosines well above the noise of 1 / sqrt(DIM) = 0.02, the higher the longer
+they are. So stretches of ``LEVELS`` characters of the calibrating documents are judged like
+documents, and of each power of two of n-grams the ``REJECTED`` quantiles of the cosine
+and of the margin to the next language are what a text of that size has to reach. Texts of under
+``JUDGED`` n-grams are too short to tell a language from junk and are accepted if they have a letter
+pair; without ``POINTS`` calibrating texts of a size, those of the size below count, or
+``LEAST_COSINE`` and no margin where there are none.
+
+Null and empty texts, texts without a letter pair, and every text where there is nothing to train on,
+have a null language and are not accepted. Equal cosines go to the language first in the alphabet.
+Very long texts are judged whole. Each row is judged by itself, so repeated rows and ids do no harm;
+an empty table gives an empty result. Other columns, whatever their names, pass through ``accepted``
+unchanged and are left out by ``identify``.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import chunks, codepoints, fold
 from sparkloom.llm.common import stored
 
-DIM, SYMBOLS, SAMPLE, LEAST_COSINE, LEAST_GRAMS = 2048, 4096, 256, 0.09, 3
-#: Triples whose vectors are held at once, and documents times triples in a table of counts.
-SLICE, TABLE = 4096, 1 << 22
+DIM, SYMBOLS, SAMPLE, LEAST_COSINE = 2048, 4096, 256, 0.09
+REJECTED, LEVELS, JUDGED, POINTS = 0.002, tuple(1 << i for i in range(4, 12)), 32, 500
+#: Triples whose vectors are held at once, documents times triples in a table of counts, bytes and rows of a chunk.
+SLICE, TABLE, BYTES, ROWS = 1024, 1 << 20, 1 << 19, 1024
+
+
+class Model(NamedTuple):
+    """Languages in order, their unit vectors, and by size (power of two of n-grams) the least cosine and margin."""
+
+    names: list[str]
+    profiles: np.ndarray
+    least_cosine: np.ndarray
+    least_margin: np.ndarray
 
 
 def letter_vectors() -> np.ndarray:
@@ -103,7 +124,7 @@ def document_vectors(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 def _bundles(batches):
     """Sums of unit document vectors by language: one row for each language of a chunk."""
-    for chunk in chunks(batches):
+    for chunk in chunks(batches, limit=BYTES, rows=ROWS):
         vec, n = document_vectors(*codepoints(chunk.column("text")))
         vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
         lang = chunk.column("lang").to_pylist()
@@ -112,64 +133,110 @@ def _bundles(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], names=["lang", "v"])
 
 
-def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their unit vectors, from at most ``sample`` labelled documents of each.
+def fragments(text: str) -> list[str]:
+    """Up to four stretches, evenly spread, of each of the ``LEVELS``, and the text if it isn't longer than the last of them."""
+    out = [text] if len(text) <= LEVELS[-1] else []
+    for size in LEVELS:
+        n = min(4, len(text) // size)
+        out += [text[at : at + size] for at in ((len(text) - size) * k // max(1, n - 1) for k in range(n))]
+    return out
+
+
+def sizes(n: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+
+
+def thresholds(n: np.ndarray, value: np.ndarray, least: float) -> np.ndarray:
+    """By size: the ``REJECTED`` quantile of the values of texts of that size, never less than that of a size below."""
+    size, out, now, known = sizes(n), np.full(64, -1.0), least, False
+    for k in range(64):
+        own = value[size == k]
+        if len(own) >= POINTS:
+            least_here = float(np.quantile(own, REJECTED))
+            now, known = max(now, least_here) if known else least_here, True
+        if 1 << k >= JUDGED:
+            out[k] = now
+    return out
+
+
+def prototypes(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model from at most ``sample`` labelled documents of each language, calibrated on as many others.
 
     Of each (language, slot of the hash of doc_id) the document with the least hash is taken, so
-    nothing but one long for each slot is gathered before the texts are read.
+    nothing but one long for each slot is gathered before the texts are read; the slots of a language
+    train and calibrate in turn, the first of them trains.
     """
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(sample)))
-    chosen = stored(rows.groupBy("lang", "slot").agg(F.min("hash").alias("hash")), "sample")  # ``sample`` rows a language, so the planner can broadcast them
+    rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2 * sample)))
+    chosen = rows.groupBy("lang", "slot").agg(F.min("hash").alias("hash"))  # 2 * ``sample`` rows a language, so the planner can broadcast them
+    chosen = stored(chosen.withColumn("trains", F.row_number().over(Window.partitionBy("lang").orderBy("slot")) % 2 == 1), "sample")
+    part = lambda trains: rows.join(chosen.where(F.col("trains") == trains), ["lang", "slot", "hash"], "left_semi").select("lang", "text")
     sums: dict[str, np.ndarray] = {}
-    for r in rows.join(chosen, ["lang", "slot", "hash"], "left_semi").select("lang", "text").mapInArrow(_bundles, "lang string, v array<double>").toLocalIterator():
+    for r in part(True).mapInArrow(_bundles, "lang string, v array<double>").toLocalIterator():
         sums[r[0]] = sums.get(r[0], 0) + np.array(r[1])
     names = sorted(k for k, v in sums.items() if np.linalg.norm(v) > 0)
-    return names, np.stack([sums[k] / np.linalg.norm(sums[k]) for k in names]).astype(np.float32) if names else np.zeros((0, DIM), np.float32)
+    profiles = np.stack([sums[k] / np.linalg.norm(sums[k]) for k in names]).astype(np.float32) if names else np.zeros((0, DIM), np.float32)
 
+    def calibrate(batches):
+        for chunk in chunks(batches, limit=BYTES, rows=ROWS):
+            whole = pa.RecordBatch.from_arrays([pa.array([f for t in chunk.column("text").to_pylist() for f in fragments(t)], pa.string())], names=["text"])
+            for part in chunks([whole], limit=BYTES, rows=ROWS):
+                n, _, top, margin = compare(part.column("text"), names, profiles)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist()]) for x in (n, top, margin)], names=["n", "cosine", "margin"])
 
-def judge(column: pa.Array, names: list[str], profiles: np.ndarray, least_cosine: float):
-    """Language, cosine, margin to the next language, and whether it is accepted, for each text."""
+    found = [np.zeros(0), np.zeros(0), np.zeros(0)]
+    if names:  # numbers only, a bounded sample's
+        for r in part(False).mapInArrow(calibrate, "n array<long>, cosine array<double>, margin array<double>").toLocalIterator():
+            found = [np.concatenate([a, np.array(b)]) for a, b in zip(found, r)]
+    return Model(names, profiles, thresholds(found[0], found[1], LEAST_COSINE), thresholds(found[0], found[2], 0.0))
+
+
+def compare(column: pa.Array, names: list[str], profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of n-grams, best language, its cosine and the margin to the next one, for each text."""
     vec, n = document_vectors(*codepoints(column))
     cosine = vec @ profiles.T / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
-    if not names:
-        empty = pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.float64()), pa.nulls(len(n), pa.float64())
-        return *empty, pa.array(np.zeros(len(n), bool))
     best = cosine.argmax(axis=1)
     at = np.arange(len(n))
     top = cosine[at, best].astype(np.float64)
-    if len(names) > 1:
-        rest = cosine.copy()
-        rest[at, best] = -2
-        margin = top - rest.max(axis=1)
-    else:
-        margin = top
-    none = n == 0
-    language = pa.array([None if x else names[i] for i, x in zip(best, none)], pa.string())
-    return language, pa.array(top, mask=none), pa.array(margin.astype(np.float64), mask=none), pa.array((n >= LEAST_GRAMS) & (top >= least_cosine))
+    if len(names) == 1:
+        return n, best, top, top
+    rest = cosine.copy()
+    rest[at, best] = -2
+    return n, best, top, top - rest.max(axis=1)
+
+
+def judge(column: pa.Array, model: Model):
+    """Language, cosine, margin to the next language, and whether it is accepted, for each text."""
+    if not model.names:
+        return pa.nulls(len(column), pa.string()), pa.nulls(len(column), pa.float64()), pa.nulls(len(column), pa.float64()), pa.array(np.zeros(len(column), bool))
+    n, best, top, margin = compare(column, model.names, model.profiles)
+    none, size = n == 0, sizes(n)
+    language = pa.array([None if x else model.names[i] for i, x in zip(best, none)], pa.string())
+    fits = ~none & (top >= model.least_cosine[size]) & (margin >= model.least_margin[size])
+    return language, pa.array(top, mask=none), pa.array(margin.astype(np.float64), mask=none), pa.array(fits)
 
 
-def identify(docs: DataFrame, model=None, least_cosine: float = LEAST_COSINE) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, language, cosine, margin, accepted: a row for each row of docs."""
-    names, profiles = model or prototypes(docs)
+    model = model or prototypes(docs)
 
     def run(batches):
-        for chunk in chunks(batches):
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *judge(chunk.column("text"), names, profiles, least_cosine)], names=["doc_id", "language", "cosine", "margin", "accepted"])
+        for chunk in chunks(batches, limit=BYTES, rows=ROWS):
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *judge(chunk.column("text"), model)], names=["doc_id", "language", "cosine", "margin", "accepted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, language string, cosine double, margin double, accepted boolean")
 
 
-def accepted(docs: DataFrame, model=None, least_cosine: float = LEAST_COSINE) -> DataFrame:
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs that are accepted, with all their columns."""
-    names, profiles = model or prototypes(docs)
+    model = model or prototypes(docs)
     plain = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow takes no names with dots
     text = plain[docs.columns.index("text")]
     fields = [T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields)]
 
     def run(batches):
-        for chunk in chunks(batches, text):
-            yield chunk.append_column("keep", judge(chunk.column(text), names, profiles, least_cosine)[-1])
+        for chunk in chunks(batches, text, BYTES, ROWS):
+            yield chunk.append_column("keep", judge(chunk.column(text), model)[-1])
 
     judged = docs.toDF(*plain).mapInArrow(run, T.StructType([*fields, T.StructField("keep", T.BooleanType())]))
     return judged.where("keep").select(*(F.col(c).alias(name) for c, name in zip(plain, docs.columns)))

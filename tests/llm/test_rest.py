@@ -68,7 +68,33 @@ def test_language_cases(clashing, docs):
     kept = langid.accepted(clashing(rows), model)
     assert kept.columns == clashing(rows).columns and kept.count() == 7
     assert langid.identify(docs([])).count() == 0
-    assert not any(r.accepted or r.language for r in langid.identify(docs(rows), ([], np.zeros((0, langid.DIM), np.float32))).collect())
+    assert not any(r.accepted or r.language for r in langid.identify(docs(rows), langid.Model([], np.zeros((0, langid.DIM), np.float32), np.zeros(64), np.zeros(64))).collect())
+
+
+def test_language_rejects_junk(spark, docs):
+    """Both error rates: held-out labelled documents that are rejected, and junk in the same alphabet that is accepted."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.prototypes(d.where("doc_id % 2 = 0"))
+    clean = d.where("doc_id % 20 = 1 AND length(text) >= 2")
+    rejected = langid.identify(clean, model).where("NOT accepted").count() / clean.count()
+    r = random.Random(7)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    foreign = "Kun tulin kotiin illalla huomasin että ovi oli auki ja valot päällä kaikissa huoneissa, minä ja ystäväni lähdimme metsään kävelemään. "
+    code = 'for (int i = 0; i < n; i++) { if (x[i] != null) { printf("%d", x[i]->next); } } {"a": 1, "b": [2, 3]} <div class="x"></div> '
+    random_text = lambda n: [letters(n) for _ in range(100)] + ["".join(r.choice("0123456789abcdef") for _ in range(n)) for _ in range(50)]
+    others = [(foreign + code) * k for k in range(3, 8)] + [foreign * k for k in range(3, 8)] + [code * k for k in range(3, 8)]
+    passed = [langid.identify(docs(list(enumerate(junk))), model).where("accepted").count() / len(junk) for junk in (random_text(600), random_text(2400), others)]
+    assert rejected < 0.005 and passed[0] < 0.2 and passed[1] < 0.05 and passed[2] == 0, (rejected, passed)
+
+
+def test_language_long_texts_ties_and_repeats(docs):
+    words = "the quick brown fox jumps over the lazy dog and "
+    model = langid.prototypes(docs([(i, words * 3) for i in range(4)]))
+    rows = [(1, words * 40_000), (1, words), (1, words), (2, "a"), (3, "7 ! 7")]
+    got = langid.identify(docs(rows), model).collect()
+    assert len(got) == 5 and sum(r.accepted for r in got) == 3 and len({(r.cosine, r.margin) for r in got if r.cosine and r.cosine > 0.5}) == 2
+    both = langid.Model(["de", "en"], np.repeat(model.profiles, 2, axis=0), np.full(64, -1.0), np.zeros(64))
+    assert {(r.language, r.margin) for r in langid.identify(docs([(1, words)]), both).collect()} == {("de", 0.0)}
 
 
 def test_url_filter(spark):
