@@ -13,10 +13,13 @@ whatever the size of the corpus, and the driver solves it by classes of equal pi
 
 A step fixes as many equal bins as the classes hold, so the plan is a short list of runs: the
 pieces of a class from one rank to another go to consecutive bins. Executors rank the pieces of
-each class (within hash buckets, so that a frequent size is no hot partition) and look them up.
+each class by doc_id, piece and a hash of the text, at every size of the corpus: the pieces are sorted
+by ranges, so that a frequent size is no hot partition, and counted on from part to part.
 
-Null and empty texts have no piece. Rows with null or repeated ids are packed each on its own;
-pieces of one size are interchangeable, and ties go by doc_id, then piece.
+Null and empty texts have no piece, an empty table gives no row; very long texts are cut into as many
+pieces as they need. Rows with null or repeated ids are packed each on its own, null ids first; rows
+that are equal in id and text are interchangeable. Only doc_id and text are read, so other columns,
+whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from sparkloom.llm.common import stored
 from sparkloom.llm.tokens import VOCABULARY, token_lists
 
 CAPACITY = 4096
-#: Pieces of one class and bucket that a window ranks at a time.
-BUCKET_ROWS = 100_000
+#: Pieces of a part of the sort that ranks them.
+PART_ROWS = 1_000_000
 #: Runs of a plan that are sent to every executor (48 bytes each); a longer plan is joined by a shuffle.
 BROADCAST_RUNS = 100_000
 
@@ -175,7 +178,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, piece, token_start, n_tokens: the last piece of a document also holds its separator."""
+    """doc_id, piece, token_start, n_tokens, tie (a hash of the text): the last piece of a document also holds its separator."""
 
     def cut(batches):
         for chunk in chunks(batches):
@@ -184,9 +187,37 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             row = np.repeat(np.arange(len(n)), n)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             start = piece * capacity
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(row)), *map(pa.array, (piece, start, np.minimum(capacity, total[row] - start)))], names=["doc_id", "piece", "token_start", "n_tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece long, token_start long, n_tokens long")
+            yield pa.RecordBatch.from_arrays([*(chunk.column(c).take(pa.array(row)) for c in ("doc_id", "tie")), *map(pa.array, (piece, start, np.minimum(capacity, total[row] - start)))], names=["doc_id", "tie", "piece", "token_start", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    return rows.mapInArrow(cut, "doc_id long, tie long, piece long, token_start long, n_tokens long")
+
+
+def _numbered(batches):
+    """Rows of a part in order, with their number within (part, n_tokens): rows of one size are next to each other."""
+    size, seen = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.column("n_tokens").to_numpy()
+        first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        within = np.arange(len(n)) - np.repeat(first, np.diff(np.append(first, len(n))))
+        if n[0] == size:
+            within[: first[1] if len(first) > 1 else len(n)] += seen
+        size, seen = n[-1], int(within[-1]) + 1
+        yield batch.append_column("within", pa.array(within))
+
+
+def ranked(cut: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """cut with ``rank``, the place of each piece among those of its size in order of doc_id, piece and tie."""
+    order = ["n_tokens", "doc_id", "piece", "tie"]
+    parts = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // part_rows))
+    rows = cut.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", within long"
+    rows = stored(rows.mapInArrow(_numbered, fields), "ranked")
+    count = rows.groupBy("n_tokens", "part").agg(F.count("*").alias("count"))  # as many rows as there are sizes and parts together
+    before = count.withColumn("before", F.sum("count").over(Window.partitionBy("n_tokens").orderBy("part")) - F.col("count")).drop("count")
+    return rows.join(before, ["n_tokens", "part"]).withColumn("rank", F.col("within") + F.col("before"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -195,19 +226,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     cut = stored(pieces(docs, capacity, vocabulary), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("n_tokens").count().collect()}  # at most ``capacity`` rows
     runs, _, _ = plan(histogram, capacity)
-    buckets = -(-max(histogram.values(), default=1) // BUCKET_ROWS)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    within = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")) - 1
-    if buckets > 1:
-        sizes = cut.groupBy("n_tokens", "bucket").count()
-        before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("count")).drop("count")
-        ranked = cut.withColumn("within", within).join(before, ["n_tokens", "bucket"]).withColumn("rank", F.col("within") + F.col("before"))
-    else:
-        ranked = cut.withColumn("rank", within)
     table = spark.createDataFrame(runs, "size long, rank_from long, rank_to long, each long, first_bin long, place long")
     if len(runs) <= BROADCAST_RUNS:  # a few for each size up to the capacity, however large the corpus
         table = F.broadcast(table)
     at = F.col("rank") - F.col("rank_from")
-    return ranked.join(table, (F.col("n_tokens") == F.col("size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))).select(
+    return ranked(cut).join(table, (F.col("n_tokens") == F.col("size")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))).select(
         "doc_id", "piece", "token_start", "n_tokens", (F.col("first_bin") + F.floor(at / F.col("each"))).alias("bin_id"), (F.col("place") + at % F.col("each") * F.col("n_tokens")).alias("bin_start")
     )

@@ -248,11 +248,7 @@ def test_reduction_keeps_an_optimum():
 
 def test_pack(clashing):
     rows = [(i, "word " * random.Random(i).randint(0, 900)) for i in range(60)] + [(100, None), (101, ""), (102, "long text " * 3000), (None, "a b"), (None, "a b"), (7, "again"), (7, "again")]
-    old, packing.BUCKET_ROWS = packing.BUCKET_ROWS, 3
-    try:
-        out = packing.pack(clashing(rows), capacity=512).collect()
-    finally:
-        packing.BUCKET_ROWS = old
+    out = packing.pack(clashing(rows), capacity=512).collect()
     encode = encoding().encode_ordinary
     want = {}
     for i, t in rows:
@@ -275,6 +271,35 @@ def test_pack(clashing):
     assert packing.pack(clashing([])).count() == 0
 
 
+def test_ranks_whatever_the_parts(docs):
+    """Ranks in a class go by doc_id, piece and tie, for any number of parts."""
+    rows = [(i // 2 if i % 9 else None, "word " * random.Random(i % 40).randint(0, 700)) for i in range(300)]
+    cut = packing.stored(packing.pieces(docs(rows), 256), "pieces")
+    want = {}
+    for r in sorted(cut.collect(), key=lambda r: (r.n_tokens, r.doc_id is not None, r.doc_id or 0, r.piece, r.tie)):
+        want.setdefault(r.n_tokens, []).append((r.doc_id, r.piece, r.tie))
+    for part_rows in (5, 60, 1_000_000):
+        got = {}
+        for r in sorted(packing.ranked(cut, part_rows).collect(), key=lambda r: (r.n_tokens, r.rank)):
+            assert r.rank == len(got.setdefault(r.n_tokens, []))
+            got[r.n_tokens].append((r.doc_id, r.piece, r.tie))
+        assert got == want
+
+
+def test_pack_against_the_plan_piece_by_piece(spark, sf):
+    """The whole table: the query is the plan's runs dealt out one by one to the sorted pieces."""
+    cut = packing.pieces(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    by_size = {}
+    for r in sorted(cut, key=lambda r: (r.n_tokens, r.doc_id, r.piece)):
+        by_size.setdefault(r.n_tokens, []).append((r.doc_id, r.piece))
+    want = {}
+    for size, low, high, each, first, place in packing.plan({k: len(v) for k, v in by_size.items()}, packing.CAPACITY)[0]:
+        for k, piece in enumerate(by_size[size][low:high]):
+            want[piece] = first + k // each, place + k % each * size
+    got = {(r.doc_id, r.piece): (r.bin_id, r.bin_start) for r in packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50257, 2**32])
 def test_blocks_round_trip(top):
     r = np.random.default_rng(top)
