@@ -1,17 +1,24 @@
 """Near-duplicate documents: 256-bit SimHash, band buckets, bit-sliced distances.
 
-A document's signature is the majority of the hashed bits of its distinct folded words. Exact
-signatures are grouped first. The distinct ones meet in buckets of ``bands`` keys of ``band_bits``
-sampled bits (the number of bits follows the number of documents, so that buckets keep their
-size), and each bucket is compared by bit planes held vertically: 64 signatures to a machine word,
-distances of a query to all 64 counted at once by carry-save adders, blocks dropped as soon as
-every lane is past the radius. Groups are the connected components; the least doc_id stays.
+A document's signature is the majority of the hashed bits of its distinct folded words; a bit that
+exactly half of them set is 0. Documents with equal signatures are a class, its least doc_id stands
+for it. The classes meet in buckets of ``BANDS`` keys of ``BAND_BITS`` sampled bits each, and every
+bucket is compared by bit planes held vertically: 64 signatures to a machine word, distances of a
+query to all 64 counted at once by carry-save adders, blocks dropped as soon as every lane is past
+the radius. Groups are the connected components; the least doc_id stays.
 
 Banding is approximate: two signatures at distance d share one of B bands of b bits with probability
-1 - (1 - (1 - d/256)**b)**B, and B follows from b so that this is at least ``RECALL`` at the radius
-itself, whatever the size of the corpus; nearer pairs fare better. Null ids and documents without a word are in no group; rows that repeat
-a doc_id are one document. Buckets are compared whole, whatever their size; within one, only the
-edges of a star are kept for each local component, which loses no connection.
+1 - (1 - (1 - d/256)**b)**B. B follows from b so that this is at least ``RECALL`` at the radius
+itself; nearer pairs fare better (over 0.99 up to distance 31). Both are constants, so which pairs are
+found depends on the two signatures alone, whatever the size of the corpus. Buckets are compared
+whole, whatever their size; a link is counted in the first band that its two signatures share, and
+of each bucket only the edges of a star are passed on for each local component, which loses no
+connection and keeps copies from being expanded into pairs.
+
+Null ids and null or empty texts and others without a word are in no group; rows that repeat a doc_id
+are one document (with a link between their texts if they differ, but are near). Very long texts are
+read whole, chunk by chunk; an empty table gives an empty result. Only doc_id and text are read, so
+other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from sparkloom.llm.arrowtext import U64, Words, chunks, codepoints, mix, signed
 from sparkloom.llm.common import checkpoint, texts, without
 from sparkloom.llm.components import connected_components
 
-BITS, RADIUS, RECALL, LEAST_BAND_BITS = 256, 42, 0.9, 16
+BITS, RADIUS, RECALL, BAND_BITS = 256, 42, 0.9, 20
 #: A byte's bits, each in a byte of its own.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(np.uint64)[:, 0]
 SIG = [f"s{i}" for i in range(BITS // 64)]
@@ -80,8 +87,8 @@ def banding(bands: int, width: int):
                 bits = unpack(sig).astype(U64)
                 key = np.concatenate([mix((bits[:, p] * scale).sum(axis=1, dtype=U64), k) for k, p in enumerate(where)])
                 yield pa.RecordBatch.from_arrays(
-                    [signed(key), pa.array(np.tile(part.column("doc_id").to_numpy(), bands)), *(pa.array(np.tile(sig[:, j], bands)) for j in range(len(SIG)))],
-                    names=["key", "doc_id", *SIG],
+                    [signed(key), pa.array(np.repeat(np.arange(bands, dtype=np.int32), len(sig))), pa.array(np.tile(part.column("doc_id").to_numpy(), bands)), *(pa.array(np.tile(sig[:, j], bands)) for j in range(len(SIG)))],
+                    names=["key", "band", "doc_id", *SIG],
                 )
 
     return emit
@@ -92,7 +99,7 @@ def _csa(a, b, c):
     return u ^ c, (a & b) | (u & c)
 
 
-def close_pairs(sig: np.ndarray, start: np.ndarray, radius: int = RADIUS, most: int = 1 << 16):
+def close_pairs(sig: np.ndarray, start: np.ndarray, radius: int = RADIUS, most: int = 1 << 14):
     """Pairs (i, j), start[i] <= j < i, of rows with at most ``radius`` differing bits, in portions.
 
     sig: (n, 4) int64; start[i]: the first row of i's bucket. Rows are cut into blocks of 64 lanes.
@@ -172,38 +179,66 @@ def local_roots(n: int, pairs) -> np.ndarray:
     return root
 
 
-def comparer(radius: int):
-    """Sorted (key, doc_id, signature) rows to the edges of stars; a bucket may span batches."""
+def first_band(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The first band, by its mask, in which these differences of signatures have no bit; -1 if there is none."""
+    out, left = np.full(len(x), -1), np.arange(len(x))
+    for k, mask in enumerate(masks):
+        same = ((x[left] & mask) == 0).all(axis=1)
+        out[left[same]] = k
+        left = left[~same]
+        if not len(left):
+            break
+    return out
 
-    def edges(key, doc, sig):
+
+def comparer(radius: int, bands: int, width: int):
+    """Sorted (key, band, doc_id, signature) rows to the edges of stars (src, dst), and links (src, links) by bucket; a bucket may span batches."""
+    bits = np.zeros((bands, BITS), np.uint8)
+    bits[np.arange(bands)[:, None], band_positions(bands, width)] = 1
+    masks = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+    def edges(key, band, doc, sig):
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(new, len(key)))
         use = np.repeat(size > 1, size)
         if not use.any():
             return None
         size = size[size > 1]
-        doc, sig = doc[use], sig[use]
-        root = local_roots(len(doc), close_pairs(sig, np.repeat(np.cumsum(size) - size, size), radius))
-        linked = np.flatnonzero(root != np.arange(len(doc)))
+        band, doc, sig = band[use], doc[use], sig[use]
+        links = np.zeros(len(doc), np.int64)
+
+        def counted(pairs):
+            for i, j in pairs:
+                first = first_band(sig[i] ^ sig[j], masks) == band[i]
+                for side in (i, j):
+                    links[:] += np.bincount(side[first], minlength=len(doc))
+                yield i, j
+
+        root = local_roots(len(doc), counted(close_pairs(sig, np.repeat(np.cumsum(size) - size, size), radius)))
+        linked, some = np.flatnonzero(root != np.arange(len(doc))), np.flatnonzero(links)
         if not len(linked):
             return None
         pair = np.unique(np.sort(np.stack([doc[linked], doc[root[linked]]], axis=1), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["src", "dst"])
+        n, m = len(pair), len(some)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([pair[:, 0], doc[some]])), pa.array(np.concatenate([pair[:, 1], doc[some]]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([np.zeros(n, np.int64), links[some]]))],
+            names=["src", "dst", "links"],
+        )
 
     def compare(batches):
         held: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            key, band, doc = (batch.column(c).to_numpy() for c in ("key", "band", "doc_id"))
             sig = np.stack([batch.column(c).to_numpy() for c in SIG], axis=1)
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                out = edges(*(np.concatenate(x) for x in zip(*held, (key[:cut], doc[:cut], sig[:cut]))))
+                out = edges(*(np.concatenate(x) for x in zip(*held, (key[:cut], band[:cut], doc[:cut], sig[:cut]))))
                 held = []
                 if out is not None:
                     yield out
-            held.append((key[cut:].copy(), doc[cut:].copy(), sig[cut:].copy()))
+            held.append((key[cut:].copy(), band[cut:].copy(), doc[cut:].copy(), sig[cut:].copy()))
             if len(held) > 1 and held[0][0][0] != key[-1]:  # the batch held one key, another than before
                 out = edges(*(np.concatenate(x) for x in zip(*held[:-1])))
                 held = held[-1:]
@@ -222,19 +257,26 @@ def bands_for(width: int, radius: int, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log1p(-((1 - radius / BITS) ** width)))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int | None = None, band_bits: int | None = None) -> DataFrame:
-    """doc_id, group_id, kept: the documents of all groups of two and more; group_id is the least doc_id."""
+BANDS = bands_for(BAND_BITS, RADIUS)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, band_bits: int = BAND_BITS) -> DataFrame:
+    """doc_id, group_id, kept, class_id, links: the documents of all groups of two and more.
+
+    group_id and class_id are the least doc_ids of the group and of the documents with the same signature;
+    links is the number of other classes that were found within the radius of this one.
+    """
     fields = "doc_id long, " + ", ".join(f"{c} long" for c in SIG)
     sigs = checkpoint(texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(signatures, fields))
     whole = sigs.groupBy(*SIG).agg(F.min("doc_id").alias("rep"))
     exact = sigs.join(whole, SIG).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    if band_bits is None:
-        band_bits = max(LEAST_BAND_BITS, math.ceil(math.log2(max(2, sigs.count()))) - 2)
-    bands = bands or bands_for(band_bits, radius)
-    keyed = whole.withColumnRenamed("rep", "doc_id").select("doc_id", *SIG).mapInArrow(banding(bands, band_bits), "key long, " + fields)
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(comparer(radius), "src long, dst long")
-    found = connected_components(exact.union(near))
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("kept"))
+    keyed = whole.withColumnRenamed("rep", "doc_id").select("doc_id", *SIG).mapInArrow(banding(bands, band_bits), "key long, band int, " + fields)
+    near = checkpoint(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(comparer(radius, bands, band_bits), "src long, dst long, links long"))
+    exact = checkpoint(exact)
+    found = connected_components(exact.union(near.where("dst IS NOT NULL").select("src", "dst"))).withColumnRenamed("node", "doc_id")
+    links = near.where("dst IS NULL").groupBy(F.col("src").alias("class_id")).agg(F.sum("links").alias("links"))
+    classes = found.join(exact.groupBy(F.col("src").alias("doc_id")).agg(F.min("dst").alias("class_id")), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    return classes.join(links, "class_id", "left").select("doc_id", F.col("component").alias("group_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -56,6 +56,37 @@ def test_near_duplicates_against_brute_force(docs):
     assert all(group[a] <= a for a in group) and group[903] == 0
     assert {r.doc_id for r in found if r.kept} == set(group.values())
     assert not {900, 901, 902} & set(group) and not any(i % 10 == 2 for i in group if i < 900)
+    # links are those of distinct signatures, each counted once
+    rep = {}
+    for i in ids:
+        rep.setdefault(sig[i].tobytes(), i)
+    assert all(r.class_id == rep[sig[r.doc_id].tobytes()] for r in found)
+    want = {i: sum(a in rep.values() and b in rep.values() and i in (a, b) for a, b in near) for i in rep.values()}
+    got = {r.class_id: r.links for r in found}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * sum(want.values()) > 40
+
+
+def test_links_in_a_cluster(docs):
+    """Texts with a few words of their own, and copies of them: links are counted, no pairs are returned."""
+    base = text(400, 3).split()
+    rows = [(i, " ".join([*base, f"own{i % 40}", f"word{i % 40}"])) for i in range(120)]
+    found = {r.doc_id: r for r in simhash.near_duplicates(docs(rows)).collect()}
+    sig = {}
+    for b in simhash.signatures([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})]):
+        for i, row in zip(b.column("doc_id").to_pylist(), zip(*(b.column(c).to_pylist() for c in simhash.SIG))):
+            sig[i] = row
+    assert len(found) == 120 and {r.group_id for r in found.values()} == {0}
+    assert len(set(sig.values())) > 5 and all(r.links == len(set(sig.values())) - 1 for r in found.values())
+
+
+def test_even_split_and_long_text(docs):
+    """A bit that half of the words set is 0; a text of a million words is read whole."""
+    one, other = ("alpha",), ("alpha", "beta")
+    bits = [simhash.unpack(np.stack([b.column(c).to_numpy() for c in simhash.SIG], axis=1))[0] for w in (one, ("beta",), other) for b in simhash.signatures([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(w)]})])]
+    assert np.array_equal(bits[2], bits[0] & bits[1])
+    t = text(3000, 8)
+    long = " ".join([t] * 300)
+    assert {(r.doc_id, r.group_id, r.kept) for r in simhash.near_duplicates(docs([(1, long), (2, t)])).collect()} == {(1, 1, True), (2, 1, False)}
 
 
 def test_drop_near_duplicates(clashing):
