@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, passages, simhash
 from sparkloom.llm.arrowtext import Words, codepoints
@@ -129,6 +130,23 @@ def test_contaminated(docs, spark):
     assert decontam.contaminated(docs(rows), bench.limit(0)).count() == 0 and decontam.contaminated(docs([]), bench).count() == 0
 
 
+def test_short_answers(clashing, spark, tmp_path):
+    """Items of any length are found, as the SQL finds them; only longer ones throw a document out."""
+    from tests.conftest import compared
+
+    bench = spark.createDataFrame([(1, "Yes"), (2, "the Blue Nile"), (3, "one two three four five six"), (4, "??"), (5, text(15, 2)), (6, "yes")], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    rows = [(1, "yes, yes: The blue Nile!"), (2, "the blue and the nile"), (3, "so one two THREE four five six"), (4, f"{text(15, 2)} yes"), (5, text(12, 2)), (6, "The Blue Nile"), (7, "word " * 300_000 + "yes")]
+    d = clashing(rows)
+    d.write.parquet(f"{tmp_path}/documents.parquet/p")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet/p")
+    got = decontam.contaminated(d, bench)
+    sql = decontam.ORACLE.replace("documents", f"'{tmp_path}/documents.parquet/p/*.parquet'").replace("benchmark", f"'{tmp_path}/benchmark.parquet/p/*.parquet'")
+    ours, theirs = compared(got, sql, "/nowhere")
+    assert ours == theirs and {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (1, 6), (1, 2), (3, 3), (4, 5), (4, 1), (4, 6), (6, 2), (7, 1), (7, 6)}
+    kept = decontam.decontaminate(d, bench)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5, 6, 7}
+
+
 def test_automaton_matches_scan(docs, spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     d = spark.read.parquet(f"{sf}/documents.parquet")
