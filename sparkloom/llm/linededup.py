@@ -12,7 +12,11 @@ flips at most two, so most false candidates fall before their texts are fetched.
 verified by a banded bit-parallel automaton: a word of 2 * EDITS + 1 bits for each number of
 errors, many pairs at a time. The search is exact, but for collisions of 64-bit hashes.
 
-Null ids and null or empty texts have no lines. Rows that repeat a doc_id are taken as one document.
+Null ids and null or empty texts have no lines. Rows that repeat a doc_id are taken as one document,
+so of equal lines with the same number there is one. Very long lines and texts are read whole. Where
+several earlier lines are near, the earliest is named. An empty table gives an empty result. Only
+doc_id and text are read, so other columns, whatever their names, change nothing and pass through
+``drop_repeated_lines``.
 """
 
 from __future__ import annotations
@@ -270,11 +274,11 @@ ORACLE = """
 WITH split AS (
   SELECT DISTINCT doc_id, t.i AS line_no, trim(t.l, ' ' || chr(9) || chr(13)) AS l
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i - 1, 'l': x})) AS t FROM documents WHERE doc_id IS NOT NULL)
-), line AS (SELECT * FROM split WHERE length(l) >= 24),
+), line AS (SELECT * FROM split WHERE length(l) >= 1),
 one AS (SELECT l, length(l) AS n, min((doc_id, line_no)) AS first FROM line GROUP BY l),
 near AS (
   SELECT b.l AS l, min((a.first, levenshtein(a.l, b.l))) AS of
-  FROM one a JOIN (SELECT *, unnest(range(n - 2, n + 3)) AS m FROM one) b ON a.n = b.m AND a.first < b.first
+  FROM one a JOIN (SELECT *, unnest(range(n - 2, n + 3)) AS m FROM one) b ON a.n = b.m AND a.first < b.first AND least(a.n, b.n) >= 8
   WHERE (contains(b.l, left(a.l, a.n // 3)) OR contains(b.l, substr(a.l, a.n // 3 + 1, a.n // 3)) OR contains(b.l, substr(a.l, 2 * (a.n // 3) + 1)))
     AND levenshtein(a.l, b.l) <= 2
   GROUP BY b.l
