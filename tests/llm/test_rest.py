@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, fingerprints, langid, packing, pfor, urlfilter
 from sparkloom.llm.tokens import VOCABULARY, encoding
@@ -97,18 +98,76 @@ def test_language_long_texts_ties_and_repeats(docs):
     assert {(r.language, r.margin) for r in langid.identify(docs([(1, words)]), both).collect()} == {("de", 0.0)}
 
 
+def plain_features(url):
+    """The n-grams of one URL, one after another."""
+    u = url.strip().lower()
+    m = re.match(r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?#]*)(.*)$", u, re.S)
+    out = set()
+    for salt, part in enumerate((m[1].removeprefix("www."), m[2])):
+        data = f"^{part}$".encode()
+        for n in urlfilter.SIZES:
+            for i in range(len(data) - n + 1):
+                h = (1469598103934665603 + 2 * n + salt) % 2**64
+                for c in data[i : i + n]:
+                    h = (h ^ c) * 1099511628211 % 2**64
+                out.add(((h ^ h >> 29) % 2 ** (urlfilter.BITS - 1)) + salt * 2 ** (urlfilter.BITS - 1))
+    return out
+
+
+def plain_training(rows):
+    """Weights by place (-1 is the bias), by loops over rows and places."""
+    found = [plain_features(u) for u, _ in rows]
+    half = 2 ** (urlfilter.BITS - 1)
+    value = [{p: 1 / math.sqrt(sum((q < half) == (p < half) for q in f)) for p in f} for f in found]
+    w, step, n = {-1: 0.0}, {}, [sum(y == k for _, y in rows) for k in (0, 1)]
+    for _ in range(urlfilter.STEPS):
+        grad = {p: urlfilter.DECAY * x for p, x in w.items() if p >= 0}
+        for v, (_, y) in zip(value, rows):
+            error = 0.5 / n[y] * (1 / (1 + math.exp(-(w[-1] + sum(w.get(p, 0.0) * x for p, x in v.items())))) - y)
+            grad[-1] = grad.get(-1, 0.0) + error
+            for p, x in v.items():
+                grad[p] = grad.get(p, 0.0) + error * x
+        step = {p: 0.9 * step.get(p, 0.0) - urlfilter.RATE * g for p, g in grad.items()}
+        for p, x in step.items():
+            w[p] = w.get(p, 0.0) + x
+    return w
+
+
+def test_url_training_by_plain_loop():
+    rows = urlfilter.labelled_urls()[::97]
+    assert {y for _, y in rows} == {0, 1}
+    for u, _ in [*rows, ("HTTP://WWW.Ünïcode.example/Ä?q", 0), ("", 0), ("www.x", 0)]:
+        row, place = urlfilter.features(pa.array(["x", u, None]))
+        assert set(place[row == 1].tolist()) == plain_features(u) and not (row == 2).any()
+    w, want = urlfilter.train(rows), plain_training(rows)
+    assert all(math.isclose(w[p], x, rel_tol=1e-6, abs_tol=1e-9) for p, x in want.items()) and np.count_nonzero(w) == len(want)
+
+
+def test_url_filter_on_words_it_has_not_seen(spark):
+    """The bad hosts of the test pages: none of their words is a word of the training table."""
+    bad = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+    known = {w for u, _ in urlfilter.labelled_urls() for w in re.split(r"[^a-z0-9]+", u.lower())}
+    assert not known & {w for b in bad for w in b.split("-")}
+    got = urlfilter.scored(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    caught = sum(r.bad for r in got if any(b in r.url for b in bad))
+    false = sum(r.bad for r in got if not any(b in r.url for b in bad))
+    assert caught >= 0.9 * sum(any(b in r.url for b in bad) for r in got) > 100 and false <= 0.01 * len(got)
+
+
 def test_url_filter(spark):
     rows = urlfilter.labelled_urls()
     host = lambda u: u.split("/")[2]
     out = set(random.Random(2).sample(sorted({host(u) for u, _ in rows}), 70))
     w = urlfilter.train([r for r in rows if host(r[0]) not in out])
     held = [(u, y) for u, y in rows if host(u) in out]
-    assert np.mean([(urlfilter.probability(u, w) > 0.5) == bool(y) for u, y in held]) > 0.95
-    pages = spark.createDataFrame([(1, "http://www.casino-win.example.com/en/1", "x"), (2, None, None), (3, "", "x"), (None, "https://garden.example.org/about", "x"), (1, "http://www.casino-win.example.com/en/1", "y")], "page_id long, url string, p_bad string")
+    assert np.mean((urlfilter.probabilities(pa.array([u for u, _ in held]), w) > 0.5) == np.array([bool(y) for _, y in held])) > 0.95
+    long = "https://garden.org/" + "a-long-path/" * 100_000
+    pages = spark.createDataFrame([(1, "http://www.casino-win.example.com/en/1", "x"), (2, None, None), (3, "", "x"), (None, "https://garden.example.org/about", "x"), (1, "http://www.casino-win.example.com/en/1", "y"), (5, long, "z")], "page_id long, url string, p_bad string")
+    pages = pages.withColumn("row", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("bad", F.lit(1))
     full = urlfilter.train(rows).astype(np.float32)
     got = urlfilter.scored(pages).collect()
-    assert sorted((str(r.page_id), r.bad) for r in got) == [("1", True), ("1", True), ("2", False), ("3", False), ("None", False)]
-    assert all(r.p_bad is None if r.url is None else math.isclose(r.p_bad, urlfilter.probability(r.url, full)) for r in got)
+    assert sorted((str(r.page_id), r.bad) for r in got if r.url != "") == [("1", True), ("1", True), ("2", False), ("5", False), ("None", False)] and len(got) == 6
+    assert all(r.p_bad is None if r.url is None else math.isclose(r.p_bad, urlfilter.probabilities(pa.array([r.url]), full)[0]) for r in got)
     assert urlfilter.scored(pages.limit(0)).count() == 0
     assert {r.p_bad for r in urlfilter.scored(pages, []).collect()} == {None, 0.5}
 
