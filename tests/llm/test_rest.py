@@ -13,15 +13,37 @@ from sparkloom.llm.tokens import VOCABULARY, encoding
 from tests.conftest import compared
 
 
-def test_fingerprints(clashing, spark):
+def plain_leaders(rows):
+    """(doc_id, n_chars, same_as, leader_id, lcp, tail_leader_id, lcs) of each row, by comparing all rows; doc_ids don't repeat with other texts."""
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    order = lambda i: (i is not None, i or 0)
+    out = []
+    for i, t in rows:
+        if t is None:
+            out.append((i, *[None] * 6))
+            continue
+        twins = [j for j, u in rows if u == t and j is not None]
+        got = []
+        for turn in (lambda x: x, lambda x: x[::-1]):
+            shared = [(common(turn(t), turn(u)), j) for j, u in rows if u and order(j) < order(i)]
+            level = max((k for c, _ in shared for k in range(12) if 4**k <= c), default=None)
+            lead = None if level is None else min((order(j), j, c) for c, j in shared if c >= 4**level)
+            got += [i, len(t)] if lead is None else [lead[1], lead[2]]
+        out.append((i, len(t), min(twins, default=None), *got))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hot", [2, 5000])
+def test_fingerprints(clashing, hot):
     head = "the same thirty-two characters here and "
-    rows = [(5, head + "one"), (3, head + "other"), (9, head + "one"), (1, "é𐐷x"), (2, "é𐐷x"), (4, None), (6, ""), (7, ""), (None, head), (5, head + "a"), (8, "x" * 300_000)]
-    for hot in (2, 5000):
-        got = sorted(((r.doc_id, r.n_chars, r.same_as, r.leader_id, r.lcp) for r in fingerprints.fingerprints(clashing(rows), hot=hot).collect()), key=repr)
-        n = len(head)
-        # the document without an id comes first and leads, but an id is shown as null
-        want = [(5, n + 3, 5, None, n), (3, n + 5, 3, None, n), (9, n + 3, 5, None, n), (1, 3, 1, 1, 3), (2, 3, 1, 1, 3), (4, None, None, None, None), (6, 0, 6, 6, 0), (7, 0, 6, 6, 0), (None, n, None, None, n), (5, n + 1, 5, None, n), (8, 300_000, 8, 8, 300_000)]
-        assert got == sorted(want, key=repr)
+    rows = [(5, head + "one"), (3, head + "other"), (9, head + "one"), (1, "é𐐷x"), (2, "é𐐷x"), (4, None), (6, ""), (7, ""), (None, head), (8, "x" * 300_000), (10, "y" + "x" * 200_000), (11, "not " + head + "one"), (12, "also not " + head + "one")]
+    r = random.Random(5)
+    pool = ["".join(r.choice("ab") for _ in range(r.randint(0, 90))) for _ in range(6)]
+    rows += [(100 + i, r.choice(pool)[: r.randint(0, 90)] + r.choice("ab") * r.randint(0, 3) + r.choice(pool)) for i in range(60)]
+    show = lambda df: sorted(((r.doc_id, r.n_chars, r.same_as, r.leader_id, r.lcp, r.tail_leader_id, r.lcs) for r in df.collect()), key=repr)
+    assert show(fingerprints.fingerprints(clashing(rows), hot=hot, kept=16)) == plain_leaders(rows)
+    twice = fingerprints.fingerprints(clashing([*rows[:4], (5, head + "one"), (5, head + "two")]), hot=hot).where("doc_id = 5").collect()
+    assert len(twice) == 3 and len({(r.fingerprint, r.leader_id, r.lcp) for r in twice}) == 2
     assert fingerprints.fingerprints(clashing([])).count() == 0
 
 
