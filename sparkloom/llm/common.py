@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -10,15 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder in ``spark.checkpoint.dir``, so lost executors cost nothing.
+def base_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names no folder (tests on one machine) a temporary one is set.
+    Where it is unset, a session on one machine gets a temporary one; a cluster is an error, since its
+    executors don't see each other's disks.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, so lost executors cost nothing."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -50,7 +61,7 @@ def fresh(df: DataFrame, base: str) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='shared-')}/{name}-{uuid.uuid4().hex}"
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:

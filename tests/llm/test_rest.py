@@ -408,6 +408,18 @@ def test_encoded(clashing):
     assert pfor.encoded(clashing([])).count() == 0
 
 
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from sparkloom.llm.common import base_folder
+
+    session = lambda master, folder: SimpleNamespace(conf={"spark.checkpoint.dir": folder} if folder else {}, sparkContext=SimpleNamespace(master=master))
+    assert base_folder(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y" and base_folder(session("local[8]", None))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            base_folder(session(master, None))
+
+
 @pytest.mark.parametrize("name", ["op2_fingerprints", "op5_chat_format", "op9_decontamination", "op10_line_dedup"])
 def test_oracle(spark, sf, name):
     from sparkloom.llm import queries
