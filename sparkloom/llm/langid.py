@@ -10,8 +10,9 @@ Prototypes are trained on at most ``SAMPLE`` labelled documents of each language
 doc_id from the whole table, and as many others calibrate what is accepted. Texts in one alphabet
 share letters and so have cosines well above the noise of 1 / sqrt(DIM) = 0.02, the higher the longer
 they are. So stretches of ``LEVELS`` characters of the calibrating documents are judged like
-documents, and of each power of two of n-grams the ``REJECTED`` quantiles of the cosine
-and of the margin to the next language are what a text of that size has to reach. Texts of under
+documents, and for each power of two of n-grams a text has to reach the ``REJECTED`` quantile of their
+cosines, and also that of their margins to the next language if its cosine is below the ``DOUBTFUL``
+quantile (a text in two languages is near both of them, junk is near none). Texts of under
 ``JUDGED`` n-grams are too short to tell a language from junk and are accepted if they have a letter
 pair; without ``POINTS`` calibrating texts of a size, those of the size below count, or
 ``LEAST_COSINE`` and no margin where there are none.
@@ -37,17 +38,18 @@ from sparkloom.llm.arrowtext import chunks, codepoints, fold
 from sparkloom.llm.common import stored
 
 DIM, SYMBOLS, SAMPLE, LEAST_COSINE = 2048, 4096, 256, 0.09
-REJECTED, LEVELS, JUDGED, POINTS = 0.002, tuple(1 << i for i in range(4, 12)), 32, 500
+REJECTED, DOUBTFUL, LEVELS, JUDGED, POINTS = 0.002, 0.01, tuple(1 << i for i in range(4, 12)), 32, 500
 #: Triples whose vectors are held at once, documents times triples in a table of counts, bytes and rows of a chunk.
 SLICE, TABLE, BYTES, ROWS = 1024, 1 << 20, 1 << 19, 1024
 
 
 class Model(NamedTuple):
-    """Languages in order, their unit vectors, and by size (power of two of n-grams) the least cosine and margin."""
+    """Languages in order, their unit vectors, and by size (power of two of n-grams) the least cosine, the one past which no margin is asked for, and the least margin."""
 
     names: list[str]
     profiles: np.ndarray
     least_cosine: np.ndarray
+    sure_cosine: np.ndarray
     least_margin: np.ndarray
 
 
@@ -146,13 +148,13 @@ def sizes(n: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
 
 
-def thresholds(n: np.ndarray, value: np.ndarray, least: float) -> np.ndarray:
-    """By size: the ``REJECTED`` quantile of the values of texts of that size, never less than that of a size below."""
+def thresholds(n: np.ndarray, value: np.ndarray, least: float, quantile: float = REJECTED) -> np.ndarray:
+    """By size: the quantile of the values of texts of that size, never less than that of a size below."""
     size, out, now, known = sizes(n), np.full(64, -1.0), least, False
     for k in range(64):
         own = value[size == k]
         if len(own) >= POINTS:
-            least_here = float(np.quantile(own, REJECTED))
+            least_here = float(np.quantile(own, quantile))
             now, known = max(now, least_here) if known else least_here, True
         if 1 << k >= JUDGED:
             out[k] = now
@@ -188,7 +190,7 @@ def prototypes(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if names:  # numbers only, a bounded sample's
         for r in part(False).mapInArrow(calibrate, "n array<long>, cosine array<double>, margin array<double>").toLocalIterator():
             found = [np.concatenate([a, np.array(b)]) for a, b in zip(found, r)]
-    return Model(names, profiles, thresholds(found[0], found[1], LEAST_COSINE), thresholds(found[0], found[2], 0.0))
+    return Model(names, profiles, thresholds(found[0], found[1], LEAST_COSINE), thresholds(found[0], found[1], LEAST_COSINE, DOUBTFUL), thresholds(found[0], found[2], 0.0))
 
 
 def compare(column: pa.Array, names: list[str], profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +214,7 @@ def judge(column: pa.Array, model: Model):
     n, best, top, margin = compare(column, model.names, model.profiles)
     none, size = n == 0, sizes(n)
     language = pa.array([None if x else model.names[i] for i, x in zip(best, none)], pa.string())
-    fits = ~none & (top >= model.least_cosine[size]) & (margin >= model.least_margin[size])
+    fits = ~none & (top >= model.least_cosine[size]) & ((top >= model.sure_cosine[size]) | (margin >= model.least_margin[size]))
     return language, pa.array(top, mask=none), pa.array(margin.astype(np.float64), mask=none), pa.array(fits)
 
 

@@ -91,7 +91,7 @@ def test_language_cases(clashing, docs):
     kept = langid.accepted(clashing(rows), model)
     assert kept.columns == clashing(rows).columns and kept.count() == 7
     assert langid.identify(docs([])).count() == 0
-    assert not any(r.accepted or r.language for r in langid.identify(docs(rows), langid.Model([], np.zeros((0, langid.DIM), np.float32), np.zeros(64), np.zeros(64))).collect())
+    assert not any(r.accepted or r.language for r in langid.identify(docs(rows), langid.Model([], np.zeros((0, langid.DIM), np.float32), *np.zeros((3, 64)))).collect())
 
 
 def test_language_rejects_junk(spark, docs):
@@ -116,7 +116,11 @@ def test_language_long_texts_ties_and_repeats(docs):
     rows = [(1, words * 40_000), (1, words), (1, words), (2, "a"), (3, "7 ! 7")]
     got = langid.identify(docs(rows), model).collect()
     assert len(got) == 5 and sum(r.accepted for r in got) == 3 and len({(r.cosine, r.margin) for r in got if r.cosine and r.cosine > 0.5}) == 2
-    both = langid.Model(["de", "en"], np.repeat(model.profiles, 2, axis=0), np.full(64, -1.0), np.zeros(64))
+    # a text in two languages has little margin, but is accepted
+    two = langid.prototypes(docs([(i, words * 3) for i in range(4)]).union(docs([(i, "der schnelle braune Fuchs springt über den faulen Hund und " * 3) for i in range(4, 8)]).withColumn("lang", F.lit("de"))))
+    mixed = langid.identify(docs([(1, (words + "der schnelle braune Fuchs springt über den faulen Hund und ") * 4)]), two).collect()[0]
+    assert mixed.accepted and mixed.cosine > 0.6 and mixed.margin < 0.3
+    both = langid.Model(["de", "en"], np.repeat(model.profiles, 2, axis=0), np.full(64, -1.0), np.full(64, -1.0), np.zeros(64))
     assert {(r.language, r.margin) for r in langid.identify(docs([(1, words)]), both).collect()} == {("de", 0.0)}
 
 
