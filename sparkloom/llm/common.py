@@ -33,8 +33,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's default is sixteen times that.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless the user has set a bound: each is held three or four times over by executor and worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and ``more``) alone: other columns can't clash with what an operator adds."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

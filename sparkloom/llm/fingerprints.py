@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowtext import U64, chunks, codepoints
-from sparkloom.llm.common import BROADCAST_IDS, stored
+from sparkloom.llm.common import stored, texts
 
 PRIMES, BASES = (2147483647, 2147483629), (1000003579, 1500450271)
 #: Documents of a salted part; characters of either end that are kept beside the fingerprints.
 HOT, KEPT = 5000, 64
+#: Documents whose asks (some 150 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_ASKS = 250_000
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -135,7 +137,7 @@ def _compare(batches):
 
 def fingerprints(docs: DataFrame, hot: int = HOT, kept: int = KEPT) -> DataFrame:
     """doc_id, fingerprint, n_chars, same_as, leader_id, lcp, tail_leader_id, lcs: a row for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = texts(docs).withColumn("tie", F.xxhash64("text"))
     tail = lambda n: F.reverse(F.substring("text", -n, n)) if isinstance(n, int) else F.reverse(F.expr(f"right(text, {n})"))
     base = rows.withColumn("head", F.substring("text", 1, kept)).withColumn("tail", tail(kept))
     base = stored(base.mapInArrow(_ends, "doc_id long, tie long, fingerprint long, n_chars long, heads array<long>, tails array<long>, head string, tail string"), "fingerprints")
@@ -163,7 +165,7 @@ def fingerprints(docs: DataFrame, hot: int = HOT, kept: int = KEPT) -> DataFrame
         return found.select("doc_id", "tie", "ask.*", F.when(F.col("ask.side") == 0, head).otherwise(tail_).alias("text"))
 
     short, long = lists.where(F.col("most") <= kept), lists.where(F.col("most") > kept)
-    if long.count() <= BROADCAST_IDS:
+    if long.count() <= BROADCAST_ASKS:
         long = F.broadcast(long)
     ends = sent(base.select("doc_id", "tie", "head", "tail").dropDuplicates(["doc_id", "tie"]), short, F.col("head"), F.col("tail"))
     whole = sent(rows, long, F.expr("left(text, ask.take)"), tail("ask.take"))

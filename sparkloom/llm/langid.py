@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrowtext import chunks, codepoints, fold
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import small_batches, stored, texts
 
 DIM, SYMBOLS, SAMPLE, LEAST_COSINE = 2048, 4096, 256, 0.09
 REJECTED, DOUBTFUL, LEVELS, JUDGED, POINTS = 0.002, 0.01, tuple(1 << i for i in range(4, 12)), 32, 500
@@ -54,7 +54,8 @@ class Model(NamedTuple):
 
 
 def letter_vectors() -> np.ndarray:
-    return np.random.default_rng(3).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIM))
+    rng = np.random.default_rng(3)
+    return np.concatenate([rng.choice(np.array([-1, 1], np.int8), (64, DIM)) for _ in range(SYMBOLS // 64)])  # in parts, since numbers of 8 bytes are drawn
 
 
 _LETTERS: list[np.ndarray] = []
@@ -168,6 +169,7 @@ def prototypes(docs: DataFrame, sample: int = SAMPLE) -> Model:
     nothing but one long for each slot is gathered before the texts are read; the slots of a language
     train and calibrate in turn, the first of them trains.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2 * sample)))
     chosen = rows.groupBy("lang", "slot").agg(F.min("hash").alias("hash"))  # 2 * ``sample`` rows a language, so the planner can broadcast them
@@ -226,11 +228,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for chunk in chunks(batches, limit=BYTES, rows=ROWS):
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), *judge(chunk.column("text"), model)], names=["doc_id", "language", "cosine", "margin", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, language string, cosine double, margin double, accepted boolean")
+    return texts(docs).mapInArrow(run, "doc_id long, language string, cosine double, margin double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs that are accepted, with all their columns."""
+    small_batches(docs.sparkSession)
     model = model or prototypes(docs)
     plain = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow takes no names with dots
     text = plain[docs.columns.index("text")]

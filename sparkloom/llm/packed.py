@@ -11,7 +11,7 @@ import pyarrow as pa
 
 SCHEMA = "part int, payload binary"
 #: Bytes of records that a map task holds before it passes them on.
-HELD = 32 << 20
+HELD = 16 << 20
 
 
 class Packer:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowtext import chunks
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import stored, texts
 from sparkloom.llm.tokens import VOCABULARY, token_lists
 
 CAPACITY = 4096
@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             start = piece * capacity
             yield pa.RecordBatch.from_arrays([*(chunk.column(c).take(pa.array(row)) for c in ("doc_id", "tie")), *map(pa.array, (piece, start, np.minimum(capacity, total[row] - start)))], names=["doc_id", "tie", "piece", "token_start", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = texts(docs).withColumn("tie", F.xxhash64("text"))
     return rows.mapInArrow(cut, "doc_id long, tie long, piece long, token_start long, n_tokens long")
 
 

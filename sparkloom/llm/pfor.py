@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowtext import U64, chunks
+from sparkloom.llm.common import texts
 from sparkloom.llm.tokens import VOCABULARY, flat_tokens
 
 BLOCK, PERCENTILE, HEAD = 128, 90, 6
@@ -113,4 +114,4 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             index = pa.ListArray.from_arrays(pa.array(blocks.astype(np.int32)), pa.array(starts.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(np.diff(offsets)), index, payload], names=["doc_id", "n_tokens", "block_starts", "payload"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, block_starts array<int>, payload binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, block_starts array<int>, payload binary")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrowtext import chunks
+from sparkloom.llm.common import small_batches
 
 BITS, SIZES, STEPS, RATE, DECAY = 16, (3, 4, 5), 300, 10.0, 1e-5
 #: The probability above which a URL is bad.
@@ -122,6 +123,7 @@ def probabilities(urls: pa.Array, w: np.ndarray) -> np.ndarray:
 
 def scored(pages: DataFrame, labelled: list[tuple[str | None, int | None]] | None = None) -> DataFrame:
     """page_id, url, p_bad, bad: a row for each row of pages."""
+    small_batches(pages.sparkSession)
     w = train(labelled_urls() if labelled is None else labelled).astype(np.float32)
 
     def run(batches):
