@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.traverse import closure, links
+from sparkloom.operators.traverse import call_links, closure
 from sparkloom.plans.catalog import Catalog
 from sparkloom.plans.materialize import checkpoint
 
@@ -88,7 +88,7 @@ def update_communities(cat: Catalog, label: DataFrame, affected: DataFrame, roun
 
 def entry_points(cat: Catalog) -> DataFrame:
     """Symbols that call: without callers, exported, handling a route, or named on*, handle* or process*."""
-    e = links(cat.edges, ["CALLS"])
+    e = call_links(cat)
     call = e.select(F.col("src").alias("id")).distinct()
     s = cat.symbols.join(call, "id", "left_semi")
     called = e.select(F.col("dst").alias("id")).distinct()
@@ -98,7 +98,7 @@ def entry_points(cat: Catalog) -> DataFrame:
 
 def processes(cat: Catalog, steps: int = 10, min_steps: int = 3, most: int = 300) -> DataFrame:
     """Traces from entry points: at each step the least callee that the trace hasn't visited. One entry for each distinct trace."""
-    e = links(cat.edges, ["CALLS"])
+    e = call_links(cat)
     open_ = entry_points(cat).select(F.array("id").alias("trace"), F.col("id").alias("end"))
     ended = None
     for i in range(1, steps):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scores import word_boundary
-from sparkloom.operators.traverse import closure, links
+from sparkloom.operators.traverse import call_links, closure
 from sparkloom.plans.catalog import Catalog
 
 K1, B = 1.2, 0.75
@@ -62,7 +62,7 @@ def search(cat: Catalog, query: str, limit: int = 10) -> DataFrame:
 def hybrid_search(cat: Catalog, query: str, limit: int = 10, hops: int = 3) -> DataFrame:
     """search, each score times 1 + .3 * (other hits reached within some calls / the most that any hit reaches)."""
     hits = search(cat, query, limit)
-    near = closure(hits.select(F.col("id").alias("root_id")), links(cat.edges, ["CALLS"]), hops).join(hits.select(F.col("id").alias("node_id")), "node_id", "left_semi").groupBy(F.col("root_id").alias("id")).agg(F.count("*").alias("reach"))
+    near = closure(hits.select(F.col("id").alias("root_id")), call_links(cat), hops).join(hits.select(F.col("id").alias("node_id")), "node_id", "left_semi").groupBy(F.col("root_id").alias("id")).agg(F.count("*").alias("reach"))
     j = hits.join(near, "id", "left").select("id", "name", "score", F.coalesce("reach", F.lit(0)).alias("reach"))
     most = F.greatest(F.max("reach").over(Window.partitionBy()), F.lit(1))
     return j.select("id", "name", F.round(F.col("score") * (1 + 0.3 * F.col("reach") / most), 6).alias("score"))

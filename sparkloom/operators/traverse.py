@@ -26,6 +26,12 @@ def links(edges: DataFrame, kinds: list[str] | None = None, reverse: bool = Fals
     return e.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
+def call_links(cat: Catalog, reverse: bool = False) -> DataFrame:
+    """The links of the calls, written once for all steps of a query in either direction."""
+    link = cat.kept("call_links", lambda: checkpoint(links(cat.edges, ["CALLS"])))
+    return link.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else link
+
+
 def closure(roots: DataFrame, link: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
     """Nodes within ``depth`` links of each root_id, the root left out. ``limit`` stops before a step once a frontier has more rows."""
     if depth > MAX_DEPTH * 2:
@@ -51,11 +57,11 @@ def roots_named(cat: Catalog, name: str) -> DataFrame:
 
 
 def callers(cat: Catalog, name: str, depth: int = 3) -> DataFrame:
-    return _with_names(cat, closure(roots_named(cat, name), links(cat.edges, ["CALLS"], True), depth))
+    return _with_names(cat, closure(roots_named(cat, name), call_links(cat, True), depth))
 
 
 def callees(cat: Catalog, name: str, depth: int = 3) -> DataFrame:
-    return _with_names(cat, closure(roots_named(cat, name), links(cat.edges, ["CALLS"]), depth))
+    return _with_names(cat, closure(roots_named(cat, name), call_links(cat), depth))
 
 
 def _with_names(cat: Catalog, c: DataFrame) -> DataFrame:
@@ -75,7 +81,7 @@ def impact_by_kind(cat: Catalog, name: str, kind: str, depth: int = 3) -> DataFr
 def api_impact(cat: Catalog) -> DataFrame:
     """Each route handler: new callers at depth 1, 2 and 3, score 3, 2 and 1 for each, and its tier."""
     handlers = cat.routes.select(F.col("handler_symbol_id").alias("root_id")).distinct().join(cat.symbols.select(F.col("id").alias("root_id")), "root_id")
-    c = closure(handlers, links(cat.edges, ["CALLS"], True), 3).groupBy("root_id").agg(*(F.count_if(F.col("depth") == d).alias(f"d{d}") for d in (1, 2, 3)))
+    c = closure(handlers, call_links(cat, True), 3).groupBy("root_id").agg(*(F.count_if(F.col("depth") == d).alias(f"d{d}") for d in (1, 2, 3)))
     n = handlers.join(c, "root_id", "left").select("root_id", *(F.coalesce(f"d{d}", F.lit(0)).alias(f"d{d}") for d in (1, 2, 3)))
     return n.withColumn("score", F.expr("3 * d1 + 2 * d2 + d3")).withColumn("tier", impact_tier(F.col("score")))
 
@@ -83,8 +89,8 @@ def api_impact(cat: Catalog) -> DataFrame:
 def explain(cat: Catalog, name: str, depth: int = 3) -> DataFrame:
     """Each definition: callers and callees within depth, parents and children."""
     r = roots_named(cat, name)
-    up = closure(r, links(cat.edges, ["CALLS"], True), depth).groupBy("root_id").agg(F.count("*").alias("callers"))
-    down = closure(r, links(cat.edges, ["CALLS"]), depth).groupBy("root_id").agg(F.count("*").alias("callees"))
+    up = closure(r, call_links(cat, True), depth).groupBy("root_id").agg(F.count("*").alias("callers"))
+    down = closure(r, call_links(cat), depth).groupBy("root_id").agg(F.count("*").alias("callees"))
     parents = cat.heritage.groupBy(F.col("child_symbol_id").alias("root_id")).agg(F.count("*").alias("parents"))
     children = cat.heritage.where("parent_symbol_id IS NOT NULL").groupBy(F.col("parent_symbol_id").alias("root_id")).agg(F.count("*").alias("children"))
     out = r
@@ -95,7 +101,7 @@ def explain(cat: Catalog, name: str, depth: int = 3) -> DataFrame:
 
 def affected_tests(cat: Catalog, name: str) -> DataFrame:
     """id, how: direct callers with a test's name, callers within 5 in test files, and those that call a test framework."""
-    up = closure(roots_named(cat, name), links(cat.edges, ["CALLS"], True), 5).groupBy(F.col("node_id").alias("id")).agg(F.min("depth").alias("depth")).join(named(cat).select("id", "name", "path"), "id")
+    up = closure(roots_named(cat, name), call_links(cat, True), 5).groupBy(F.col("node_id").alias("id")).agg(F.min("depth").alias("depth")).join(named(cat).select("id", "name", "path"), "id")
     framework = cat.calls.where(F.substring_index("callee_name", "_", 1).isin(kw.TEST_FRAMEWORK)).select(F.col("caller_scope_id").alias("id")).distinct()
     direct = up.where((F.col("depth") == 1) & kw.is_test_name(F.col("name"))).select("id", F.lit("direct_test_name").alias("how"))
     path = up.where(kw.is_test_path(F.col("path"))).select("id", F.lit("test_path").alias("how"))
@@ -106,7 +112,7 @@ def affected_tests(cat: Catalog, name: str) -> DataFrame:
 def validation_plan(cat: Catalog, name: str) -> DataFrame:
     """Each definition: risk 3 * callers + callees + 2 * heritage, tier and number of files affected."""
     e = explain(cat, name)
-    up = closure(roots_named(cat, name), links(cat.edges, ["CALLS"], True), 3).join(cat.symbols.select(F.col("id").alias("node_id"), "file_id"), "node_id")
+    up = closure(roots_named(cat, name), call_links(cat, True), 3).join(cat.symbols.select(F.col("id").alias("node_id"), "file_id"), "node_id")
     files = up.groupBy("root_id").agg(F.countDistinct("file_id").alias("affected_files"))
     return e.join(files, "root_id", "left").select("root_id", F.expr("3 * callers + callees + 2 * (parents + children)").alias("risk"), F.coalesce("affected_files", F.lit(0)).alias("affected_files")).withColumn("tier", impact_tier(F.col("risk")))
 
@@ -115,12 +121,12 @@ def semantic_diff(cat: Catalog, changed: DataFrame) -> DataFrame:
     """Symbols of changed files (path) with their callers within 3, most first."""
     p = changed.toDF("path").distinct()
     r = named(cat).join(p, "path", "left_semi").select(F.col("id").alias("root_id"), "name")
-    n = closure(r.select("root_id"), links(cat.edges, ["CALLS"], True), 3).groupBy("root_id").agg(F.count("*").alias("callers"))
+    n = closure(r.select("root_id"), call_links(cat, True), 3).groupBy("root_id").agg(F.count("*").alias("callers"))
     return r.join(n, "root_id", "left").select("root_id", "name", F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
 def _classified(cat: Catalog, name: str, depth: int, label: Column) -> DataFrame:
-    c = closure(roots_named(cat, name), links(cat.edges, ["CALLS"]), depth).join(cat.symbols.select(F.col("id").alias("node_id"), "name"), "node_id")
+    c = closure(roots_named(cat, name), call_links(cat), depth).join(cat.symbols.select(F.col("id").alias("node_id"), "name"), "node_id")
     return c.withColumn("label", label).where("label IS NOT NULL")
 
 
@@ -134,7 +140,7 @@ def error_trace(cat: Catalog, name: str, depth: int = 5) -> DataFrame:
     label = kw.first_class(F.col("name"), kw.ERRORS)
     s = cat.symbols.select(F.col("id").alias("node_id"), "name").withColumn("label", label)
     stop = s.where("label IS NOT NULL").select(F.col("node_id").alias("src"))
-    through = links(cat.edges, ["CALLS"])
+    through = call_links(cat)
     starts = roots_named(cat, name)
     first = through.join(starts, through.src == starts.root_id, "left_semi")
     onward = through.join(stop, "src", "left_anti").union(first).distinct()
@@ -152,7 +158,7 @@ def resource_lifecycle(cat: Catalog, name: str, depth: int = 2) -> DataFrame:
 
 def rename_safety(cat: Catalog, old: str, new: str) -> DataFrame:
     """References within 5, their tier, and definitions that already have the new name."""
-    n = closure(roots_named(cat, old), links(cat.edges, ["CALLS"], True), 5).agg(F.countDistinct("node_id").alias("references"))
+    n = closure(roots_named(cat, old), call_links(cat, True), 5).agg(F.countDistinct("node_id").alias("references"))
     taken = cat.symbols.where(F.col("name") == new).agg(F.count("*").alias("collisions"))
     return n.crossJoin(taken).withColumn("tier", rename_tier(F.col("references")))
 
@@ -160,13 +166,13 @@ def rename_safety(cat: Catalog, old: str, new: str) -> DataFrame:
 def edit_scope(cat: Catalog, name: str) -> DataFrame:
     """Definitions, direct callers and callees: id and role."""
     r = roots_named(cat, name)
-    up, down = (closure(r, links(cat.edges, ["CALLS"], rev), 1).select(F.col("node_id").alias("id"), F.lit(role).alias("role")) for rev, role in ((True, "caller"), (False, "callee")))
+    up, down = (closure(r, call_links(cat, rev), 1).select(F.col("node_id").alias("id"), F.lit(role).alias("role")) for rev, role in ((True, "caller"), (False, "callee")))
     return r.select(F.col("root_id").alias("id"), F.lit("definition").alias("role")).union(up).union(down).distinct()
 
 
 def change_coupling(cat: Catalog, name: str) -> DataFrame:
     """Siblings: what the direct callers of a name also call, with the number of callers in common."""
-    e = links(cat.edges, ["CALLS"])
+    e = call_links(cat)
     r = roots_named(cat, name).select(F.col("root_id").alias("dst"))
     via = e.join(r, "dst", "left_semi").select("src").distinct()
     return e.join(via, "src", "left_semi").join(r, "dst", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("shared_callers"))
@@ -200,7 +206,7 @@ def cyclic_core(link: DataFrame, rounds: int) -> DataFrame:
 
 def call_cycles(cat: Catalog, depth: int = 20) -> DataFrame:
     """Nodes that reach themselves within ``depth`` calls, and the length of the shortest cycle; no self loops."""
-    link = cyclic_core(links(cat.edges, ["CALLS"]).where("src <> dst"), depth)
+    link = cyclic_core(call_links(cat).where("src <> dst"), depth)
     link = checkpoint(link)
     reach = closure(link.select(F.col("src").alias("root_id")).distinct(), link, depth - 1)
     return reach.join(link, (reach.node_id == link.src) & (reach.root_id == link.dst)).groupBy(F.col("root_id").alias("id")).agg((F.min("depth") + 1).alias("length"))
@@ -208,7 +214,7 @@ def call_cycles(cat: Catalog, depth: int = 20) -> DataFrame:
 
 def cycle_pairs(cat: Catalog, depth: int = 6) -> DataFrame:
     """Pairs a < b that reach each other within ``depth`` calls."""
-    link = checkpoint(cyclic_core(links(cat.edges, ["CALLS"]).where("src <> dst"), depth))
+    link = checkpoint(cyclic_core(call_links(cat).where("src <> dst"), depth))
     reach = closure(link.select(F.col("src").alias("root_id")).distinct(), link, depth).select(F.col("root_id").alias("a"), F.col("node_id").alias("b"))
     return reach.where("a < b").join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
 

@@ -26,9 +26,15 @@ class Catalog:
     def replace(self, **tables: DataFrame) -> Catalog:
         """A catalog with some tables exchanged."""
         out = Catalog(self.spark, self._build)
-        out._tables = self._tables | tables
+        out._tables = {n: t for n, t in self._tables.items() if not n.startswith("_") or "edges" not in tables} | tables
         return out
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What is derived from the edges and used more than once: built when first asked for."""
+        if f"_{name}" not in self._tables:
+            self._tables[f"_{name}"] = build()
+        return self._tables[f"_{name}"]
+
     def save(self, folder: str, names: list[str], mode: str = "overwrite") -> None:
         """Edges are laid out by kind and sorted by source, so that files and row groups can be skipped."""
         for n in names:

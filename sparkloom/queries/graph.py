@@ -19,6 +19,15 @@ TEST_PATH = r"regexp_matches(path, 'test|spec|__tests__|(_test\.(rs|py|ts|js|go|
 TEST_NAME = "regexp_matches(name, 'test|Test|Spec|should_|^it_|_spec$')"
 
 
+#: The files of the newest commit that has any.
+LAST_FILES = "SELECT file_path FROM file_commits WHERE commit_hash = (SELECT hash FROM commits WHERE hash IN (SELECT commit_hash FROM file_commits) ORDER BY timestamp DESC, hash LIMIT 1)"
+
+
+def last_commit_files(c):
+    newest = c.commits.join(c.file_commits.select(F.col("commit_hash").alias("hash")), "hash", "left_semi").orderBy(F.desc("timestamp"), "hash").limit(1).select(F.col("hash").alias("commit_hash"))
+    return c.file_commits.join(newest, "commit_hash", "left_semi").select(F.col("file_path").alias("path"))
+
+
 def reach(name: str, roots: str, link: str, depth: int) -> str:
     """Common table expressions: {name} is (root_id, node_id, depth) with the least depth."""
     return f"""{name}_l AS ({link}), {name}_c(root_id, node_id, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM ({roots}) {name}_r UNION SELECT root_id, dst, depth + 1 FROM {name}_c JOIN {name}_l ON src = node_id WHERE depth < {depth}),
@@ -39,16 +48,16 @@ def _trace_flow(a: str, b: str, root: int = FLOW) -> str:
 def _labels(rounds: int) -> str:
     """Label propagation unrolled to that many rounds."""
     out = """le AS (SELECT src_id, dst_id, sum(confidence) AS w FROM edges WHERE edge_kind IN ('CALLS', 'ACCESSES_read') GROUP BY ALL),
-e AS (SELECT u, v, round(sum(w), 6) AS w FROM (SELECT src_id AS u, dst_id AS v, w FROM le UNION ALL SELECT dst_id, src_id, w FROM le) GROUP BY ALL), l0 AS (SELECT DISTINCT u AS id, u AS community FROM e)"""
+e AS MATERIALIZED (SELECT u, v, round(sum(w), 6) AS w FROM (SELECT src_id AS u, dst_id AS v, w FROM le UNION ALL SELECT dst_id, src_id, w FROM le) GROUP BY ALL), l0 AS (SELECT DISTINCT u AS id, u AS community FROM e)"""
     for i in range(1, rounds + 1):
-        out += f", l{i} AS (SELECT u AS id, community FROM (SELECT u, community, round(sum(w), 6) AS w FROM e JOIN l{i - 1} ON l{i - 1}.id = e.v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY u ORDER BY w DESC, community) = 1)"
+        out += f", l{i} AS MATERIALIZED (SELECT u AS id, community FROM (SELECT u, community, round(sum(w), 6) AS w FROM e JOIN l{i - 1} ON l{i - 1}.id = e.v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY u ORDER BY w DESC, community) = 1)"
     n = rounds
     return out + f""", z AS (SELECT community, count(*) AS n FROM l{n} GROUP BY ALL), sized AS (SELECT l.id, l.community, z.n FROM l{n} l JOIN z USING (community)),
 pull AS (SELECT a.community AS a, b.community AS b, round(sum(w), 6) AS w FROM e JOIN sized a ON a.id = u JOIN sized b ON b.id = v WHERE a.n < 3 AND b.n >= 3 GROUP BY ALL), mv AS (SELECT a, b FROM pull QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) = 1),
 lab AS (SELECT id, coalesce(b, community) AS community FROM l{n} LEFT JOIN mv ON a = community)"""
 
 
-ROUNDS = 3
+ROUNDS = 20
 LAB = _labels(ROUNDS)
 IN_LAB = "j AS (SELECT x.community AS a, y.community AS b FROM edges k JOIN lab x ON x.id = k.src_id JOIN lab y ON y.id = k.dst_id WHERE edge_kind IN ('CALLS', 'ACCESSES_read'))"
 
@@ -95,7 +104,7 @@ SELECT id, 'direct_test_name' AS how FROM up WHERE depth = 1 AND {TEST_NAME} UNI
 UNION ALL SELECT id, 'test_framework' FROM up WHERE id IN (SELECT caller_scope_id FROM calls WHERE split_part(callee_name, '_', 1) IN ({', '.join(f"'{w}'" for w in kw.TEST_FRAMEWORK)}))"""),
     "validation_plan": (lambda c: t.validation_plan(c, NAME), f"""WITH RECURSIVE {UP3}, {DOWN3}, {EXPLAIN}, y AS (SELECT root_id, 3 * callers + callees + 2 * (parents + children) AS risk, (SELECT count(DISTINCT file_id) FROM up JOIN symbols s ON s.id = node_id WHERE up.root_id = x.root_id) AS affected_files FROM x)
 SELECT *, {TIER.format('risk')} AS tier FROM y"""),
-    "semantic_diff": (lambda c: t.semantic_diff(c, c.files.where("id % 40 = 3").select("path")), f"WITH RECURSIVE r AS (SELECT id, name FROM {NAMED} x WHERE file_id % 40 = 3), {reach('up', 'SELECT id FROM r', BACK, 3)} SELECT r.id AS root_id, r.name, (SELECT count(*) FROM up WHERE root_id = r.id) AS callers FROM r"),
+    "semantic_diff": (lambda c: t.semantic_diff(c, last_commit_files(c)), f"WITH RECURSIVE r AS (SELECT id, name FROM {NAMED} x WHERE path IN ({LAST_FILES})), {reach('up', 'SELECT id FROM r', BACK, 3)} SELECT r.id AS root_id, r.name, (SELECT count(*) FROM up WHERE root_id = r.id) AS callers FROM r"),
     "side_effects": (lambda c: t.side_effects(c, NAME), f"WITH RECURSIVE {reach('c', NAMED_ROOTS, CALLS, 2)}, x AS (SELECT c.root_id, c.node_id, c.depth, name, {kw.sql_first('name', kw.EFFECTS)} AS label FROM c JOIN symbols s ON s.id = c.node_id) SELECT * FROM x WHERE label IS NOT NULL"),
     "error_trace": (lambda c: t.error_trace(c, NAME), f"""WITH RECURSIVE s AS (SELECT id, name, {kw.sql_class('name', kw.ERRORS)} AS label FROM symbols), {reach('c', NAMED_ROOTS, f"SELECT DISTINCT src_id AS src, dst_id AS dst FROM edges JOIN s ON s.id = src_id WHERE edge_kind = 'CALLS' AND (s.label IS NULL OR s.name = '{NAME}')", 5)}
 SELECT root_id, name, min(depth) AS depth, any_value(label) AS label FROM c JOIN s ON s.id = c.node_id WHERE label IS NOT NULL GROUP BY root_id, name"""),
@@ -106,7 +115,7 @@ SELECT *, CASE WHEN creation > 0 AND cleanup = 0 THEN 'leak' WHEN creation > 0 T
     "change_coupling": (lambda c: t.change_coupling(c, NAME), f"WITH r AS ({NAMED_ROOTS}), e AS ({CALLS}) SELECT dst AS id, count(DISTINCT src) AS shared_callers FROM e WHERE src IN (SELECT src FROM e WHERE dst IN (SELECT id FROM r)) AND dst NOT IN (SELECT id FROM r) GROUP BY dst"),
     "data_flow_forward": (lambda c: t.trace_flow(c, FLOW, 3), _trace_flow("src_symbol_id", "dst_symbol_id")),
     "data_flow_backward": (lambda c: t.trace_flow(c, SINK, 3, False), _trace_flow("dst_symbol_id", "src_symbol_id", SINK)),
-    "call_cycles": (t.call_cycles, f"WITH RECURSIVE l AS ({CALLS}), c(a, b, depth) AS (SELECT src, dst, CAST(1 AS BIGINT) FROM l UNION SELECT a, dst, depth + 1 FROM c JOIN l ON src = b WHERE depth < 10) SELECT a AS id, min(depth) AS length FROM c WHERE a = b GROUP BY a"),
+    "call_cycles": (t.call_cycles, f"WITH RECURSIVE l AS ({CALLS}), c(a, b, depth) AS (SELECT src, dst, CAST(1 AS BIGINT) FROM l UNION SELECT a, dst, depth + 1 FROM c JOIN l ON src = b WHERE depth < 20) SELECT a AS id, min(depth) AS length FROM c WHERE a = b GROUP BY a"),
     "cycle_pairs": (lambda c: t.cycle_pairs(c, 6), f"WITH RECURSIVE {reach('c', 'SELECT DISTINCT src_id AS id FROM edges', CALLS, 6)} SELECT x.root_id AS a, x.node_id AS b FROM c x JOIN c y ON y.root_id = x.node_id AND y.node_id = x.root_id WHERE x.root_id < x.node_id"),
     "module_impact": (lambda c: t.module_impact(c, SYMBOL), f"""WITH RECURSIVE {FILE_LINKS}, r AS (SELECT file_id AS id FROM symbols WHERE id = {SYMBOL}), {reach('c', 'SELECT id FROM r', 'SELECT DISTINCT src, dst FROM w', 2)}, n AS (SELECT node_id AS f FROM c UNION SELECT id FROM r)
 SELECT x.path AS src_path, y.path AS dst_path, edge_kind, weight FROM w JOIN files x ON x.id = src JOIN files y ON y.id = dst WHERE src IN (SELECT f FROM n) AND dst IN (SELECT f FROM n) ORDER BY weight DESC, 1, 2, 3 LIMIT 50"""),
@@ -114,7 +123,7 @@ SELECT x.path AS src_path, y.path AS dst_path, edge_kind, weight FROM w JOIN fil
 SELECT id, src_id, dst_id, edge_kind FROM edges WHERE src_id IN (SELECT * FROM n) AND dst_id IN (SELECT * FROM n)"""),
     "search_neighborhood": (lambda c: t.search_neighborhood(c, "open_file", 2), f"""WITH RECURSIVE l AS (SELECT src_id AS src, dst_id AS dst FROM edges UNION SELECT dst_id, src_id FROM edges), c(id, hops) AS (SELECT id, CAST(0 AS BIGINT) FROM symbols WHERE contains(lower(name), 'open_file') UNION SELECT dst, hops + 1 FROM c JOIN l ON src = id WHERE hops < 2)
 SELECT id, min(hops) AS hops FROM c GROUP BY id ORDER BY hops, id LIMIT 500"""),
-    "trace_paths": (lambda c: t.trace_paths(c, START, GOAL), f"""WITH RECURSIVE e AS (SELECT src_id, dst_id, confidence FROM edges WHERE edge_kind = 'CALLS'), p(path, confidence, e) AS (SELECT [CAST({START} AS BIGINT)], CAST(1 AS DOUBLE), CAST({START} AS BIGINT) UNION ALL SELECT list_append(path, dst_id), p.confidence * e.confidence, dst_id FROM p JOIN e ON src_id = p.e WHERE len(path) <= 4 AND p.e <> {GOAL} AND NOT list_contains(path, dst_id))
+    "trace_paths": (lambda c: t.trace_paths(c, START, GOAL), f"""WITH RECURSIVE e AS (SELECT src_id, dst_id, confidence FROM edges WHERE edge_kind = 'CALLS'), p(path, confidence, e) AS (SELECT [CAST({START} AS BIGINT)], CAST(1 AS DOUBLE), CAST({START} AS BIGINT) UNION ALL SELECT list_append(path, dst_id), p.confidence * e.confidence, dst_id FROM p JOIN e ON src_id = p.e WHERE len(path) <= 6 AND p.e <> {GOAL} AND NOT list_contains(path, dst_id))
 SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM p WHERE e = {GOAL} AND len(path) > 1 ORDER BY hops, path LIMIT 5"""),
     "import_depth": (t.import_depth, f"""WITH RECURSIVE i AS (SELECT DISTINCT file_id AS src, resolved_file_id AS dst FROM imports WHERE resolved_file_id IS NOT NULL AND file_id <> resolved_file_id), tops AS (SELECT id FROM files WHERE id NOT IN (SELECT dst FROM i)), {reach('c', 'SELECT id FROM tops', 'SELECT src, dst FROM i', 6)}
 SELECT node_id AS file_id, min(depth) AS depth FROM c GROUP BY node_id UNION ALL SELECT id, 0 FROM tops"""),
@@ -127,9 +136,9 @@ SELECT *, CASE WHEN internal + external = 0 THEN 0 ELSE round(internal / (intern
     "community_graph": (lambda c: g.community_graph(c, _lab(c)), f"WITH {LAB}, {IN_LAB} SELECT a AS src, b AS dst, count(*) AS weight FROM j WHERE a <> b GROUP BY ALL"),
     "community_keywords": (lambda c: g.community_keywords(c, _lab(c)), rf"""WITH {LAB}, k AS (SELECT community, unnest(regexp_split_to_array(qualified_name, '[.:\\/_]+')) AS word FROM lab JOIN symbols s ON s.id = lab.id), n AS (SELECT community, word, count(*) AS n FROM k WHERE length(word) > 2 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, word) AS rn FROM n) SELECT community, string_agg(word, ',' ORDER BY rn) AS keywords FROM r WHERE rn <= 5 GROUP BY community"""),
-    "processes": (g.processes, _processes(6)),
-    "process_steps": (lambda c: g.process_steps(g.processes(c)), f"SELECT entry AS process_id, CAST(i - 1 AS BIGINT) AS step, CAST(string_split(trace, '>')[i] AS BIGINT) AS symbol_id FROM (SELECT *, unnest(range(1, steps + 1)) AS i FROM ({_processes(5)}))"),
-    "evidence_path": (lambda c: g.beam(c, c.symbols.where(F.col("name") == NAME).select("id")), _beam(3, 5)),
+    "processes": (g.processes, _processes(10)),
+    "process_steps": (lambda c: g.process_steps(g.processes(c)), f"SELECT entry AS process_id, CAST(i - 1 AS BIGINT) AS step, CAST(string_split(trace, '>')[i] AS BIGINT) AS symbol_id FROM (SELECT *, unnest(range(1, steps + 1)) AS i FROM ({_processes(10)}))"),
+    "evidence_path": (lambda c: g.beam(c, c.symbols.where(F.col("name") == NAME).select("id")), _beam(5, 5)),
     "knowledge_nodes": (lambda c: k.nodes(c).select("id", "label", "name", F.to_json("properties").alias("properties")), """SELECT 'file:' || id AS id, 'File' AS label, path AS name, '{"language":"' || language || '","repo":"' || repo_label || '"}' AS properties FROM files
 UNION ALL SELECT 'sym:' || id, kind, name, '{"qualified_name":"' || qualified_name || '","exported":"' || is_exported || '"}' FROM symbols"""),
     "knowledge_edges": (k.relationships, """SELECT src || '--' || type || '--' || dst AS id, src, dst, type, max(confidence) AS confidence FROM (SELECT 'sym:' || src_id AS src, 'sym:' || dst_id AS dst, edge_kind AS type, confidence FROM edges UNION ALL SELECT 'file:' || file_id, 'sym:' || id, 'DEFINES', 1.0 FROM symbols) GROUP BY src, type, dst"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import history as q
+from sparkloom.queries.graph import LAST_FILES, last_commit_files
 
 PATH, SYMBOL, AS_OF = "store/sync/f4.go", 42, 1_000_000_000
 JOINED = "(SELECT x.*, c.author_name, c.author_email, c.timestamp, c.hash, c.message FROM file_commits x JOIN commits c ON c.hash = x.commit_hash)"
@@ -38,6 +39,6 @@ SELECT *, CASE WHEN score > 10 THEN 'HIGH' WHEN score > 3 THEN 'MEDIUM' ELSE 'LO
 SELECT id, min_by(author_name, (-n, author_name)) AS primary_author, max(t) AS last_changed_at FROM n GROUP BY id"""),
     "detect_changes": (lambda c: q.detect_changes(c, 995_000_000), f"""SELECT s.id, s.name, f.path, coalesce(u, 0) AS affected FROM symbols s JOIN files f ON f.id = s.file_id LEFT JOIN (SELECT dst_id, count(DISTINCT src_id) AS u FROM edges WHERE edge_kind = 'CALLS' GROUP BY dst_id) e ON e.dst_id = s.id
 WHERE f.path IN (SELECT file_path FROM {JOINED} x WHERE timestamp >= 995000000)"""),
-    "contract_changes": (lambda c: q.contract_changes(c, c.symbols.where("id % 3 = 0").join(c.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", F.concat(F.lit("def "), "name", F.lit("():")).alias("line"))), """WITH n AS (SELECT s.*, path FROM symbols s JOIN files f ON f.id = s.file_id)
-SELECT x.id, x.name, x.path, CASE WHEN bool_or(contains('def ' || y.name || '():', x.name)) THEN 'NEW' ELSE 'MODIFIED' END AS change FROM n x JOIN n y ON y.path = x.path AND y.id % 3 = 0 WHERE x.is_exported GROUP BY ALL"""),
+    "contract_changes": (lambda c: q.contract_changes(c, c.symbols.join(c.files.select(F.col("id").alias("file_id"), "path"), "file_id").join(last_commit_files(c), "path", "left_semi").select("path", F.concat(F.lit("def "), "name", F.lit("():")).alias("line"))), f"""WITH n AS (SELECT s.*, path FROM symbols s JOIN files f ON f.id = s.file_id)
+SELECT x.id, x.name, x.path, CASE WHEN bool_or(contains('def ' || y.name || '():', x.name)) THEN 'NEW' ELSE 'MODIFIED' END AS change FROM n x JOIN n y ON y.path = x.path AND y.path IN ({LAST_FILES}) WHERE x.is_exported GROUP BY ALL"""),
 }

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import communities as g
 from sparkloom.operators import evidence as e
 from sparkloom.operators import extract as x
-from sparkloom.operators import history as h
-from sparkloom.operators import lookup, resolve, search
+from sparkloom.operators import resolve, search
 from sparkloom.queries.graph import CALLS, _beam, _processes, reach
 
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -40,7 +39,19 @@ LAYERS = [("presentation", ["web/", "ui/"]), ("domain", ["core/", "api/"]), ("da
 RULES = [("pres-no-data", "presentation", "data", False), ("domain-data", "domain", "data", True), ("data-no-pres", "data", "presentation", False), ("data-no-domain", "data", "domain", False)]
 LAYER = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(path, '{p}')''' for p in ps)} THEN '{n}'" for n, ps in LAYERS) + " END"
 RULE = "CASE " + " ".join(f"WHEN x.layer = '{a}' AND y.layer = '{b}' THEN '{n if not ok else ''}'" for n, a, b, ok in RULES) + " ELSE '' END"
-BUDGET = f"""p AS (SELECT * FROM ({_beam(3, 5)}) QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY confidence DESC, path) = 1)"""
+
+
+def _kept(paths: str, cost: str, budget: int) -> str:
+    """Recursive part that goes through the paths of each seed in order: a path is kept if it still fits, or if it is the first."""
+    return f"""o AS (SELECT *, CAST({cost} AS BIGINT) AS price, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, path) - 1 AS place FROM ({paths})),
+k(seed, place, used, cost, kept) AS (SELECT seed, place, price, price, true FROM o WHERE place = 0
+  UNION ALL SELECT o.seed, o.place, CASE WHEN used + price <= {budget} THEN used + price ELSE used END, price, used + price <= {budget} FROM k JOIN o ON o.seed = k.seed AND o.place = k.place + 1)"""
+
+
+BUDGET = f"""p AS (SELECT * FROM ({_beam(5, 5)}) QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY confidence DESC, path) = 1)"""
+
+
+PATH_COST = "length(path) + 80 * len(string_split(path, '>')) + 40"
 
 
 def _bundle(c):
@@ -71,11 +82,11 @@ SELECT id, name, round(score * (1 + 0.3 * r / greatest(max(r) OVER (), 1)), 6) A
     "semantic_search": (lambda c: search.nearest(c.embeddings, 7), NEAREST.format(7, 10)),
     "rank_fusion": (lambda c: search.fuse(search.ranked(search.nearest(c.embeddings, 7, 30), "vec_id", "similarity"), search.ranked(search.nearest(c.embeddings, 11, 30), "vec_id", "similarity"), "vec_id"), f"""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) - 1 AS r FROM ({NEAREST.format(7, 30)})), b AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) - 1 AS r FROM ({NEAREST.format(11, 30)}))
 SELECT vec_id, round(coalesce(0.5 / (61 + a.r), 0) + coalesce(0.5 / (61 + b.r), 0), 9) AS score FROM a FULL JOIN b USING (vec_id)"""),
-    "process_search": (lambda c: search.process_search(c, g.process_steps(g.processes(c)), "read token"), f"""WITH st AS (SELECT entry AS process_id, CAST(unnest(string_split(trace, '>')) AS BIGINT) AS id FROM ({_processes(5)})), n AS (SELECT process_id, count(*) FILTER (contains(name, 'read') OR contains(name, 'token')) AS hits, count(*) AS steps FROM st JOIN symbols s ON s.id = st.id GROUP BY process_id)
+    "process_search": (lambda c: search.process_search(c, g.process_steps(g.processes(c)), "read token"), f"""WITH st AS (SELECT entry AS process_id, CAST(unnest(string_split(trace, '>')) AS BIGINT) AS id FROM ({_processes(10)})), n AS (SELECT process_id, count(*) FILTER (contains(name, 'read') OR contains(name, 'token')) AS hits, count(*) AS steps FROM st JOIN symbols s ON s.id = st.id GROUP BY process_id)
 SELECT * FROM n WHERE hits > 0 ORDER BY hits DESC, steps DESC, process_id LIMIT 20"""),
     "text_relevance": (lambda c: search.text_relevance(c, "token"), rf"""WITH r AS (SELECT id, name, CASE WHEN lower(name) = 'token' THEN 1.0 WHEN starts_with(lower(name), 'token') THEN 0.7 WHEN regexp_matches(name, '{SESSION}') THEN 0.5 WHEN contains(lower(name), 'token') THEN 0.4 ELSE 0 END AS relevance FROM symbols) SELECT id, name, CAST(relevance AS DOUBLE) AS relevance FROM r WHERE relevance > 0 ORDER BY relevance DESC, id LIMIT 50"""),
-    "budget_paths": (lambda c: search.within_budget(_bundle(c).withColumn("tokens", (F.col("node") % 97) * 10 + 50), "seed", [(-F.col("confidence")).alias("a"), F.col("path").alias("b")], "tokens", 900), None),
-    "evidence_bundle": (lambda c: search.bundle(_bundle(c), 100000), f"WITH {BUDGET} SELECT seed, count(*) AS paths, CAST(sum(length(path) + 80 * len(string_split(path, '>')) + 40) AS BIGINT) AS tokens, round(avg(confidence), 6) AS confidence FROM p GROUP BY seed"),
+    "budget_paths": (lambda c: search.within_budget(_bundle(c).withColumn("tokens", (F.col("node") % 97) * 10 + 50), "seed", [(-F.col("confidence")).alias("a"), F.col("path").alias("b")], "tokens", 900), f"WITH RECURSIVE b AS ({_beam(5, 5)}), {_kept('SELECT * FROM b', 'node % 97 * 10 + 50', 900)} SELECT seed, CAST(place AS BIGINT) AS place, cost FROM k WHERE kept"),
+    "evidence_bundle": (lambda c: search.bundle(_bundle(c)), f"WITH RECURSIVE {BUDGET}, {_kept('SELECT * FROM p', PATH_COST, 4000)}, n AS (SELECT seed, count(*) AS paths, CAST(sum(cost) AS BIGINT) AS tokens FROM k WHERE kept GROUP BY seed) SELECT n.*, (SELECT round(avg(confidence), 6) FROM p WHERE p.seed = n.seed) AS confidence FROM n"),
     "median_leaf": (lambda c: search.median_leaf(c, 42), "WITH d AS (SELECT id FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id HAVING count(*) <= 1 AND id <> 42), r AS (SELECT id, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () AS n FROM d) SELECT id FROM r WHERE rn = floor(n / 2) + 1"),
     "query_evidence": (lambda c: e.query(c, kind="error", least=0.5), "SELECT id, kind, file, confidence FROM evidence WHERE kind = 'error' AND confidence >= 0.5 ORDER BY confidence DESC, id LIMIT 50"),
     "file_evidence": (lambda c: e.query(c, file="f17"), "SELECT id, kind, file, start_line, confidence FROM evidence WHERE file = 'f17' ORDER BY start_line, id LIMIT 50"),
@@ -91,9 +102,9 @@ SELECT id, CASE WHEN count(*) = 1 THEN 0 ELSE round(-sum((k / len) * log2(k / le
 SELECT id, greatest(confidence, c2) AS confidence, round(CASE WHEN confidence IS NOT NULL AND c2 IS NOT NULL THEN least(stability + 0.1, 1) ELSE coalesce(stability, 1) END, 6) AS stability, CASE WHEN confidence IS NOT NULL AND c2 IS NOT NULL THEN 'seen' WHEN c2 IS NULL THEN 'missing' ELSE 'new' END AS status FROM a FULL JOIN b USING (id)"""),
     "pattern_mine": (e.mine_patterns, f"WITH {PATTERNS} SELECT * FROM pat"),
     "pattern_impact": (lambda c: e.pattern_evidence(c, "view", "purchase").agg(F.count("*").alias("n")), "WITH f AS (SELECT file FROM evidence GROUP BY file HAVING min(CASE WHEN kind = 'view' THEN (timestamp_ms, event_id) END) < max(CASE WHEN kind = 'purchase' THEN (timestamp_ms, event_id) END)) SELECT count(*) AS n FROM evidence WHERE kind IN ('view', 'purchase') AND file IN (SELECT file FROM f)"),
-    "constraints": (lambda c: e.synthesise_constraints(c, e.mine_patterns(c), confidence=0.25), f"""WITH {PATTERNS}, {LINKED}, {FORBIDDEN.format(0.25)}, rq AS (SELECT name, max(score) AS confidence FROM (SELECT unnest([a, b]) AS name, score FROM pat WHERE score >= 0.25) GROUP BY name)
+    "constraints": (lambda c: e.synthesise_constraints(c, e.mine_patterns(c)), f"""WITH {PATTERNS}, {LINKED}, {FORBIDDEN.format(0.7)}, rq AS (SELECT name, max(score) AS confidence FROM (SELECT unnest([a, b]) AS name, score FROM pat WHERE score >= 0.7) GROUP BY name)
 SELECT name, 'ForbiddenTransition' AS kind, confidence FROM fb UNION ALL SELECT name, 'RequiredProperty', confidence FROM rq"""),
-    "constraint_check": (lambda c: e.constraint_violations(c, e.synthesise_constraints(c, e.mine_patterns(c), confidence=0.25)), f"""WITH {LINKED}, {FORBIDDEN.format(0.25)} SELECT DISTINCT a || '>' || b AS "constraint", from_id AS evidence_id FROM lk WHERE edge_type = 'supports' AND a || '>' || b IN (SELECT name FROM fb)"""),
+    "constraint_check": (lambda c: e.constraint_violations(c, e.synthesise_constraints(c, e.mine_patterns(c))), f"""WITH {LINKED}, {FORBIDDEN.format(0.7)} SELECT DISTINCT a || '>' || b AS "constraint", from_id AS evidence_id FROM lk WHERE edge_type = 'supports' AND a || '>' || b IN (SELECT name FROM fb)"""),
     "boundary_violations": (lambda c: e.boundary_violations(c, LAYERS, RULES), f"""WITH a AS (SELECT s.id, path, {LAYER} AS layer FROM symbols s JOIN files f ON f.id = s.file_id), v AS (SELECT {RULE} AS rule, x.path AS from_file, y.path AS to_file, edge_kind FROM edges k JOIN a x ON x.id = k.src_id JOIN a y ON y.id = k.dst_id)
 SELECT rule, from_file, to_file, edge_kind, count(*) AS n FROM v WHERE rule <> '' GROUP BY ALL"""),
     "scan_risk": (e.scan_risk, "SELECT round(0.6 * (SELECT count(*) FILTER (resolved_symbol_id IS NULL) / count(*) FROM calls) + 0.4 * least((SELECT count(*) FROM edges) / (SELECT count(*) FROM symbols), 10) / 10, 6) AS risk"),
@@ -116,7 +127,4 @@ LEFT JOIN (SELECT file_id, name, min(id) AS id FROM symbols GROUP BY ALL) a ON a
     "markdown_links": (lambda c: x.markdown_links(_pages_as_files(c)), "SELECT 'p' || page_id || '.md' AS path, CAST(2 AS BIGINT) AS line, 'docs/x.md' AS target, 'top' AS anchor FROM pages"),
     "extract_routes": (lambda c: x.routes(_routes_source(c)), """SELECT u[1] AS method, u[2] AS path, u[3] AS file_path, u[4] AS framework, CAST(u[5] AS BIGINT) AS line FROM (SELECT unnest([['GET', '/api/' || page_id, 's' || page_id || '.js', 'express', '2'], ['POST', '/x/' || page_id, 's' || page_id || '.js', 'express', '3'], ['PUT', '/p/' || page_id, 's' || page_id || '.py', 'flask', '1'], ['GET', '/q', 's' || page_id || '.py', 'flask', '3'], ['ANY', '/api/u' || page_id || '/[id]', 'app/api/u' || page_id || '/[id]/route.ts', 'nextjs', '1']]) AS u FROM pages)"""),
     "page_links": (lambda c: x.page_links(c.pages), r"""SELECT page_id, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) AS href FROM pages"""),
-    "cross_repo_commits": (lambda c: h.co_change(c, None, None).agg(F.count("*").alias("pairs"), F.sum("shared").alias("shared")), "SELECT count(*) AS pairs, CAST(sum(n) AS BIGINT) AS shared FROM (SELECT count(*) AS n FROM file_commits x JOIN file_commits y ON x.commit_hash = y.commit_hash AND x.file_path < y.file_path GROUP BY x.file_path, y.file_path)"),
-    "edge_kinds": (lambda c: c.edges.groupBy("edge_kind").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")), "SELECT edge_kind, count(*) AS n, round(avg(confidence), 6) AS confidence FROM edges GROUP BY edge_kind"),
-    "files_by_language": (lambda c: lookup.named(c).groupBy("language").agg(F.count("*").alias("symbols"), F.countDistinct("file_id").alias("files")), "SELECT language, count(*) AS symbols, count(DISTINCT f.id) AS files FROM symbols s JOIN files f ON f.id = s.file_id GROUP BY language"),
 }

@@ -107,16 +107,18 @@ def test_sql_gate(spark):
             sqlgate.run(cat, bad, tables)
 
 
-@pytest.mark.parametrize("name", ["call_cycles", "trace_paths", "processes", "process_steps", "process_search", "evidence_path", "evidence_bundle"])
-def test_registered_depth(spark, sf, name):
-    """The registered SQL, carried on to the depths that the operators have, agrees with the queries."""
-    from sparkloom import registry
-    from sparkloom.queries import graph
-    from tests.conftest import compared
-
-    sql = was = registry.oracle_sql()[name]
-    for a, b in (("depth < 10)", "depth < 20)"), ("len(path) <= 4 AND p.e", "len(path) <= 6 AND p.e"), *((a[5:], b[5:]) for a, b in ((graph._processes(6), graph._processes(10)), (graph._processes(5), graph._processes(10)), (graph._beam(3, 5), graph._beam(5, 5))))):
-        sql = sql.replace(a, b)
-    assert sql != was
-    ours, theirs = compared(registry.queries()[name](spark, sf), sql, sf)
-    assert ours == theirs
+def test_sql_gate_cannot_be_passed(spark):
+    cat = catalog(spark, [(1, 2, 1), (2, 3, 1)])
+    tables = ["symbols", "edges", "files"]
+    here = "/root/testdata/sf0.001/orders.parquet"
+    for bad in (
+        f"/* parquet AS ( */ SELECT count(*) FROM parquet.`{here}`", f"WITH parquet AS (SELECT 1) SELECT * FROM parquet.`{here}`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT try_reflect('a', 'b')", "SELECT current_user()", "SELECT * FROM symbols WHERE id IN (SELECT id FROM secrets)",
+        "SELECT (SELECT max(x) FROM secrets) FROM symbols", "SELECT * FROM symbols s, LATERAL (SELECT * FROM secrets)", "SELECT * FROM (WITH c AS (SELECT 1 AS x) SELECT * FROM c) JOIN c ON true",
+        "SELECT * FROM range(10)", "SELECT input_file_name() FROM symbols", "SELECT * FROM symbols LATERAL VIEW stack(1, 2) t AS y", "SELECT * FROM spark_catalog.default.symbols", "SHOW TABLES", "SELECT sum(reflect('a', 'b')) OVER () FROM symbols",
+    ):
+        with pytest.raises(ValueError):
+            sqlgate.run(cat, bad, tables)
+    good = "WITH a AS (SELECT id FROM symbols), b AS (SELECT * FROM a WHERE id IN (SELECT src_id FROM edges)) SELECT b.id, row_number() OVER (ORDER BY b.id) AS n FROM b WHERE EXISTS (SELECT 1 FROM edges e WHERE e.src_id = b.id)"
+    assert sqlgate.run(cat, good, tables).count() == 2
+    assert sqlgate.run(cat, "SELECT id, x FROM Symbols LATERAL VIEW explode(array(1, 2)) t AS x", tables).count() == 6
