@@ -1,18 +1,21 @@
-"""Near-duplicate documents: 256-bit SimHash, band buckets, bit-sliced distances.
+"""Near-duplicate documents: 256-bit SimHash, bands, bit-sliced distances; every pair within the radius.
 
 A document's signature is the majority of the hashed bits of its distinct folded words; a bit that
 exactly half of them set is 0. Documents with equal signatures are a class, its least doc_id stands
-for it. The classes meet in buckets of ``BANDS`` keys of ``BAND_BITS`` sampled bits each, and every
-bucket is compared by bit planes held vertically: 64 signatures to a machine word, distances of a
-query to all 64 counted at once by carry-save adders, blocks dropped as soon as every lane is past
-the radius. Groups are the connected components; the least doc_id stays.
-
-Banding is approximate: two signatures at distance d share one of B bands of b bits with probability
-1 - (1 - (1 - d/256)**b)**B. B follows from b so that this is at least ``RECALL`` at the radius
-itself; nearer pairs fare better (over 0.99 up to distance 31). Both are constants, so which pairs are
-found depends on the two signatures alone, whatever the size of the corpus. Buckets are compared
-whole, whatever their size; a link is counted in the first band that its two signatures share, and
-of each bucket only the edges of a star are passed on for each local component, which loses no
+for it. The classes are cut into blocks by a hash of their doc_id, and each pair of blocks is one
+task, so the whole job is done at every size. Groups are the connected components; the least doc_id
+stays.
+
+No pair is lost: the 256 bits are cut into ``BANDS`` bands, each bit in one, and each band is given a
+number of differing bits, so that these numbers plus one add up to the radius plus one. Two
+signatures that differ in more than its number in every band therefore differ in more bits than the
+radius. A band's buckets are looked up at every value within its number (at radius 42: 2, and 3 in
+one band), and what is found is compared over all bits; a pair is counted in the first band that
+finds it. Where blocks are small, or so many signatures meet in the bands that comparing all is
+cheaper, all pairs of the two blocks are compared by bit planes held vertically: 64 signatures to a
+machine word, distances of a query to all 64 counted at once by carry-save adders, lanes dropped as
+soon as they are past the radius. Both ways give the same pairs. Links are counted there, and of each
+pair of blocks only the edges of a star are passed on for each local component, which loses no
 connection and keeps copies from being expanded into pairs.
 
 Null ids and null or empty texts and others without a word are in no group; rows that repeat a doc_id
@@ -24,17 +27,23 @@ other columns, whatever their names, change nothing.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrowtext import U64, Words, chunks, codepoints, mix, signed
+from sparkloom.llm.arrowtext import U64, Words, chunks, codepoints, mix
 from sparkloom.llm.common import checkpoint, texts, without
 from sparkloom.llm.components import connected_components
 
-BITS, RADIUS, RECALL, BAND_BITS = 256, 42, 0.9, 20
+BITS, RADIUS, BANDS = 256, 42, 14
+#: Signatures of a block at most, and of a block that isn't cut further to make more tasks.
+BLOCK, SMALL_BLOCK = 1 << 18, 1 << 12
+#: Nanoseconds of a value that a band is looked up at, more for each row, of comparing what is found, and of a pair where all are compared: they decide
+#: which way is taken, never what is found.
+FLIP, LOOK_UP, COMPARE, ALL_PAIRS = 100_000, 10, 45, 30
 #: A byte's bits, each in a byte of its own.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(np.uint64)[:, 0]
 SIG = [f"s{i}" for i in range(BITS // 64)]
@@ -70,28 +79,13 @@ def unpack(sig: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), -1), axis=1, bitorder="little")
 
 
-def band_positions(bands: int, width: int) -> np.ndarray:
-    rng = np.random.default_rng(8)
-    return np.stack([rng.permutation(BITS)[:width] for _ in range(bands)])
-
-
-def banding(bands: int, width: int):
-    where = band_positions(bands, width)
-
-    def emit(batches):
-        scale = U64(1) << np.arange(width, dtype=U64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                sig = np.stack([part.column(c).to_numpy() for c in SIG], axis=1)
-                bits = unpack(sig).astype(U64)
-                key = np.concatenate([mix((bits[:, p] * scale).sum(axis=1, dtype=U64), k) for k, p in enumerate(where)])
-                yield pa.RecordBatch.from_arrays(
-                    [signed(key), pa.array(np.repeat(np.arange(bands, dtype=np.int32), len(sig))), pa.array(np.tile(part.column("doc_id").to_numpy(), bands)), *(pa.array(np.tile(sig[:, j], bands)) for j in range(len(SIG)))],
-                    names=["key", "band", "doc_id", *SIG],
-                )
-
-    return emit
+def layout(radius: int) -> list:
+    """Of each band: the positions of its bits, the most of them that may differ, and all values of such differences."""
+    order, out = np.random.default_rng(8).permutation(BITS), []
+    for k in range(BANDS):
+        where, most = order[k::BANDS], (radius + 1) // BANDS - 1 + (k < (radius + 1) % BANDS)
+        out.append((where, most, np.array([sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(len(where)), n)], np.int64)))
+    return out
 
 
 def _csa(a, b, c):
@@ -99,10 +93,11 @@ def _csa(a, b, c):
     return u ^ c, (a & b) | (u & c)
 
 
-def close_pairs(sig: np.ndarray, start: np.ndarray, radius: int = RADIUS, most: int = 1 << 14):
-    """Pairs (i, j), start[i] <= j < i, of rows with at most ``radius`` differing bits, in portions.
+def close_pairs(sig: np.ndarray, start: np.ndarray, radius: int = RADIUS, most: int = 1 << 14, stop: np.ndarray | None = None):
+    """Pairs (i, j), start[i] <= j < stop[i], of rows with at most ``radius`` differing bits, in portions.
 
-    sig: (n, 4) int64; start[i]: the first row of i's bucket. Rows are cut into blocks of 64 lanes.
+    sig: (n, 4) int64; start[i]: the first row that i is compared with; stop[i]: the row after the last, i if not given.
+    Rows are cut into blocks of 64 lanes.
     """
     n = len(sig)
     if n < 2:
@@ -113,7 +108,8 @@ def close_pairs(sig: np.ndarray, start: np.ndarray, radius: int = RADIUS, most:
     planes = np.ascontiguousarray(np.packbits(bits.reshape(blocks, 64, BITS), axis=1, bitorder="little").transpose(2, 0, 1)).view(U64)[:, :, 0]
     flip = np.ascontiguousarray(bits.T)
     row = np.arange(n)
-    first, count = start // 64, np.where(start < row, row // 64 - start // 64 + 1, 0)
+    stop = row if stop is None else stop
+    first, count = start // 64, np.where(start < stop, (stop - 1) // 64 - start // 64 + 1, 0)
     ends = np.cumsum(count)
     at = 0
     while at < n:
@@ -126,7 +122,7 @@ def close_pairs(sig: np.ndarray, start: np.ndarray, radius: int = RADIUS, most:
         if not total:
             continue
         low = np.clip(start[q] - 64 * k, 0, 64)
-        high = np.clip(q - 64 * k, 0, 64)
+        high = np.clip(stop[q] - 64 * k, 0, 64)
         full = ~U64(0)
         lanes = np.where(high == 64, full, (U64(1) << np.minimum(high, 63).astype(U64)) - U64(1)) & np.where(low == 64, U64(0), full << np.minimum(low, 63).astype(U64))
         alive = lanes
@@ -179,46 +175,128 @@ def local_roots(n: int, pairs) -> np.ndarray:
     return root
 
 
-def first_band(x: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The first band, by its mask, in which these differences of signatures have no bit; -1 if there is none."""
-    out, left = np.full(len(x), -1), np.arange(len(x))
-    for k, mask in enumerate(masks):
-        same = ((x[left] & mask) == 0).all(axis=1)
-        out[left[same]] = k
-        left = left[~same]
-        if not len(left):
-            break
+def gathered(pairs, most: int = 1 << 18):
+    """The same pairs in portions of about ``most``."""
+    held, n = [], 0
+    for i, j in pairs:
+        held.append((i, j))
+        n += len(i)
+        if n >= most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _values(words: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The bits at these positions as one number."""
+    out = np.zeros(len(words), np.int64)
+    for k, at in enumerate(where):
+        out |= (words[:, at // 64] >> U64(at % 64) & U64(1)).astype(np.int64) << k
     return out
 
 
-def comparer(radius: int, bands: int, width: int):
-    """Sorted (key, band, doc_id, signature) rows to the edges of stars (src, dst), and links (src, links) by bucket; a bucket may span batches."""
-    bits = np.zeros((bands, BITS), np.uint8)
-    bits[np.arange(bands)[:, None], band_positions(bands, width)] = 1
-    masks = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+def _banded(sig: np.ndarray, cut: int, radius: int, plan: list, most: int = 1 << 17):
+    """What pairs_between gives, by way of the bands."""
+    masks = np.zeros((BANDS, BITS), np.uint8)
+    for k, (where, _, _) in enumerate(plan):
+        masks[k, where] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view(U64)
+    words = sig.view(U64)
+
+    def found(where, flips):
+        """Pairs whose values of the band differ by one of the flips, without most of those past the radius."""
+        value = _values(words, where)
+        here, there = np.argsort(value[cut:], kind="stable") + cut, np.argsort(value[: cut or None], kind="stable")
+        first = np.append(0, np.cumsum(np.bincount(value[there], minlength=1 << len(where))))
+        some = first[1:] > first[:-1]
+        probe = value[here]
+        a, b = (np.ascontiguousarray(words[x, :2].T) for x in (here, there))
+        for flip in flips:
+            at = probe ^ flip
+            hit = np.flatnonzero(some.take(at, mode="clip"))
+            at = at[hit]
+            low = first[at]
+            n = first[at + 1] - low
+            ends = np.cumsum(n)
+            done = 0
+            while done < len(hit):
+                to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, side="right")))
+                c = n[done:to]
+                q = np.repeat(hit[done:to], c)
+                p = np.arange(len(q)) + np.repeat(low[done:to] - (np.cumsum(c) - c), c)
+                done = to
+                # half of the bits are past the radius for almost all
+                keep = np.flatnonzero(np.bitwise_count(a[0][q] ^ b[0][p]) + np.bitwise_count(a[1][q] ^ b[1][p]) <= radius)
+                yield here[q[keep]], there[p[keep]]
+
+    for k, (where, _, flips) in enumerate(plan):
+        for i, j in gathered(found(where, flips)):
+            x = words[i] ^ words[j]
+            near = np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= radius
+            if not cut:
+                near &= j < i
+            i, j, x = i[near], j[near], x[near]
+            new = np.ones(len(i), bool)
+            for mask, (_, earlier, _) in zip(masks[:k], plan):
+                new &= np.bitwise_count(x & mask).sum(axis=1, dtype=np.int32) > earlier
+            yield i[new], j[new]
+
+
+def _all(sig: np.ndarray, cut: int, radius: int, tile: int = 1 << 14):
+    """What pairs_between gives, by comparing all rows, a tile with a tile."""
+    for x in range(cut, len(sig), tile):
+        for y in range(0, cut or x + 1, tile):
+            ours, theirs = sig[x : x + tile], sig[y : min(y + tile, cut or len(sig))]
+            if not cut and x == y:
+                pairs, m = close_pairs(ours, np.zeros(len(ours), np.int64), radius), 0
+            else:
+                m, both = len(theirs), np.concatenate([theirs, ours])
+                pairs = close_pairs(both, np.zeros(len(both), np.int64), radius, stop=np.where(np.arange(len(both)) < m, 0, m))
+            for i, j in pairs:
+                yield i - m + x, j + y
+
+
+def pairs_between(sig: np.ndarray, cut: int, radius: int = RADIUS):
+    """Pairs (i, j), j < cut <= i, of rows with at most ``radius`` differing bits, each once, in portions; with cut 0 those of all rows, j < i."""
+    n, other, plan = len(sig) - cut, cut or len(sig), layout(radius)
+    every, banded = ALL_PAIRS * n * other, (FLIP + LOOK_UP * n) * sum(len(flips) for _, _, flips in plan)
+    if banded < every:
+        # and what the bands find, by some of the rows
+        words, found = sig.view(U64), 0
+        some = words[cut :: max(1, n // 256)]
+        for where, _, flips in plan:
+            size = np.bincount(_values(words[:other], where), minlength=1 << len(where))
+            found += int(size[_values(some, where)[:, None] ^ flips].sum())
+        banded += COMPARE * n * found / len(some)
+    yield from _banded(sig, cut, radius, plan) if banded < every else _all(sig, cut, radius)
+
+
+def comparer(radius: int):
+    """Rows (task, side, doc_id, signature) of whole tasks to the edges of stars (src, dst), and links (src, links) by task.
 
-    def edges(key, band, doc, sig):
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(new, len(key)))
-        use = np.repeat(size > 1, size)
-        if not use.any():
+    A task's rows are of one block (side 0), or of two (sides 1 and 2) that are compared with each other.
+    """
+
+    def edges(side, doc, sig):
+        cut = int((side == 1).sum())
+        if len(doc) < 2 or cut == len(doc) or not cut and side[0]:
             return None
-        size = size[size > 1]
-        band, doc, sig = band[use], doc[use], sig[use]
+        order = np.argsort(side, kind="stable")
+        doc, sig = doc[order], np.ascontiguousarray(sig[order])
         links = np.zeros(len(doc), np.int64)
 
         def counted(pairs):
             for i, j in pairs:
-                first = first_band(sig[i] ^ sig[j], masks) == band[i]
-                for side in (i, j):
-                    links[:] += np.bincount(side[first], minlength=len(doc))
+                for rows in (i, j):
+                    links[:] += np.bincount(rows, minlength=len(doc))
                 yield i, j
 
-        root = local_roots(len(doc), counted(close_pairs(sig, np.repeat(np.cumsum(size) - size, size), radius)))
+        root = local_roots(len(doc), counted(gathered(pairs_between(sig, cut, radius))))
         linked, some = np.flatnonzero(root != np.arange(len(doc))), np.flatnonzero(links)
         if not len(linked):
             return None
-        pair = np.unique(np.sort(np.stack([doc[linked], doc[root[linked]]], axis=1), axis=1), axis=0)
+        pair = np.sort(np.stack([doc[linked], doc[root[linked]]], axis=1), axis=1)
         n, m = len(pair), len(some)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([pair[:, 0], doc[some]])), pa.array(np.concatenate([pair[:, 1], doc[some]]), mask=np.arange(n + m) >= n), pa.array(np.concatenate([np.zeros(n, np.int64), links[some]]))],
@@ -228,50 +306,42 @@ def comparer(radius: int, bands: int, width: int):
     def compare(batches):
         held: list = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, band, doc = (batch.column(c).to_numpy() for c in ("key", "band", "doc_id"))
-            sig = np.stack([batch.column(c).to_numpy() for c in SIG], axis=1)
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                out = edges(*(np.concatenate(x) for x in zip(*held, (key[:cut], band[:cut], doc[:cut], sig[:cut]))))
-                held = []
-                if out is not None:
-                    yield out
-            held.append((key[cut:].copy(), band[cut:].copy(), doc[cut:].copy(), sig[cut:].copy()))
-            if len(held) > 1 and held[0][0][0] != key[-1]:  # the batch held one key, another than before
-                out = edges(*(np.concatenate(x) for x in zip(*held[:-1])))
-                held = held[-1:]
-                if out is not None:
-                    yield out
-        if held:
-            out = edges(*(np.concatenate(x) for x in zip(*held)))
+            held.append([batch.column(c).to_numpy().copy() for c in ("task", "side", "doc_id", *SIG)])
+        if not held:
+            return
+        task, side, doc, *sig = map(np.concatenate, zip(*held))
+        sig = np.stack(sig, axis=1)
+        for t in np.unique(task):
+            rows = task == t
+            out = edges(side[rows], doc[rows], sig[rows])
             if out is not None:
                 yield out
 
     return compare
 
 
-def bands_for(width: int, radius: int, recall: float = RECALL) -> int:
-    """The number of bands of ``width`` bits of which a pair at ``radius`` shares one with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - radius / BITS) ** width)))
-
-
-BANDS = bands_for(BAND_BITS, RADIUS)
+def blocks_for(n: int, tasks: int) -> int:
+    """Blocks of n signatures: bounded, and enough for so many pairs of blocks unless they are small."""
+    return max(math.ceil(n / BLOCK), min(math.ceil(math.sqrt(2 * tasks)), math.ceil(n / SMALL_BLOCK)), 1)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS, band_bits: int = BAND_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, group_id, kept, class_id, links: the documents of all groups of two and more.
 
     group_id and class_id are the least doc_ids of the group and of the documents with the same signature;
-    links is the number of other classes that were found within the radius of this one.
+    links is the number of other classes within the radius of this one.
     """
     fields = "doc_id long, " + ", ".join(f"{c} long" for c in SIG)
     sigs = checkpoint(texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(signatures, fields))
     whole = sigs.groupBy(*SIG).agg(F.min("doc_id").alias("rep"))
     exact = sigs.join(whole, SIG).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    keyed = whole.withColumnRenamed("rep", "doc_id").select("doc_id", *SIG).mapInArrow(banding(bands, band_bits), "key long, band int, " + fields)
-    near = checkpoint(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(comparer(radius, bands, band_bits), "src long, dst long, links long"))
+    blocks = blocks_for(sigs.count(), 3 * docs.sparkSession.sparkContext.defaultParallelism)
+    # the two blocks of a task are the lower one, side 1, and the higher one, side 2; a block alone is side 0
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    task, side = (high * (high + 1) / 2).cast("int") + low, F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    sent = whole.select(F.col("rep").alias("doc_id"), *SIG, F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(task.alias("task"), side.alias("side"), "doc_id", *SIG).repartitionById(blocks * (blocks + 1) // 2, "task")
+    near = checkpoint(sent.mapInArrow(comparer(radius), "src long, dst long, links long"))
     exact = checkpoint(exact)
     found = connected_components(exact.union(near.where("dst IS NOT NULL").select("src", "dst"))).withColumnRenamed("node", "doc_id")
     links = near.where("dst IS NULL").groupBy(F.col("src").alias("class_id")).agg(F.sum("links").alias("links"))

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkloom.llm import decontam, passages, simhash
 from sparkloom.llm.arrowtext import Words, codepoints
 from sparkloom.llm.components import connected_components
@@ -80,6 +81,49 @@ def test_links_in_a_cluster(docs):
     assert len(set(sig.values())) > 5 and all(r.links == len(set(sig.values())) - 1 for r in found.values())
 
 
+def test_no_pair_is_lost():
+    """Signatures on both sides of the radius, within one block and between two: by bands and by comparing all."""
+    g = np.random.default_rng(11)
+    sig = g.integers(-(2**63), 2**63, (400, 4), dtype=np.int64)
+    for i in range(200):
+        bits = simhash.unpack(sig[i : i + 1])[0].copy()
+        bits[g.choice(256, i % 10 + 36, replace=False)] ^= 1
+        sig[200 + i] = np.packbits(bits, bitorder="little").view(np.int64)
+    bits = simhash.unpack(sig)
+    for cut in (0, 130, 200, 390):
+        for radius in (0, 13, 42):
+            want = {(i, j) for i in range(cut, 400) for j in range(cut or i) if (bits[i] != bits[j]).sum() <= radius}
+            assert radius < 42 or cut == 390 or len(want) > 80
+            for pairs in (simhash._banded(sig, cut, radius, simhash.layout(radius), most=50), simhash._all(sig, cut, radius, tile=64), simhash.pairs_between(sig, cut, radius)):
+                got = [(int(a), int(b)) for p in pairs for a, b in zip(*p)]
+                assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pipeline_drops_all_within_the_radius(spark, docs, monkeypatch):
+    """Texts about as far apart as the radius, in several blocks: all links are found and one text of each group stays."""
+    monkeypatch.setattr(simhash, "SMALL_BLOCK", 100)
+    rows = []
+    for i in range(200):
+        t = text(100, 5000 + i)
+        rows += [(2 * i, t), (2 * i + 1, edited(t, 0.13, i))]
+    ids, sig = [], []
+    for b in simhash.signatures([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})]):
+        ids += b.column("doc_id").to_pylist()
+        sig += list(simhash.unpack(np.stack([b.column(c).to_numpy() for c in simhash.SIG], axis=1)))
+    near = [(a, b) for a in range(400) for b in range(a) if (sig[a] != sig[b]).sum() <= simhash.RADIUS]
+    assert 100 < len(near) < 200 and sum((sig[a] != sig[b]).sum() > 36 for a, b in near) > 30 and len({x.tobytes() for x in sig}) == 400
+    links = {}
+    for p in near:
+        for x in p:
+            links[ids[x]] = links.get(ids[x], 0) + 1
+    df = docs(rows)
+    assert {r.doc_id: r.links for r in simhash.near_duplicates(df).collect()} == links
+    group = {i: i for i, _ in rows}
+    for a, b in sorted((ids[b], ids[a]) for a, b in near):
+        group = {x: min(group[a], group[b]) if v in (group[a], group[b]) else v for x, v in group.items()}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == set(group.values())
+
+
 def test_even_split_and_long_text(docs):
     """A bit that half of the words set is 0; a text of a million words is read whole."""
     one, other = ("alpha",), ("alpha", "beta")
