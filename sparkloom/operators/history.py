@@ -87,10 +87,17 @@ def find_experts(cat: Catalog, path: str, limit: int = 5) -> DataFrame:
 
 
 def blame_runs(cat: Catalog, file_id: int | None = None) -> DataFrame:
-    """Stretches of consecutive lines of one author and commit (gaps and islands)."""
+    """Stretches of consecutive lines of one author and commit (gaps and islands); a line number is there once in a file.
+
+    Only the first and the last line of each stretch are kept, and the last one is the next row after the first: windows over one
+    sort, which hold an author's lines of one commit in a file at a time, and no hash table of all stretches.
+    """
     b = cat.blame_lines if file_id is None else cat.blame_lines.where(F.col("file_id") == file_id)
-    island = F.col("line_number") - F.row_number().over(Window.partitionBy("file_id", "author_name", "commit_hash").orderBy("line_number"))
-    return b.withColumn("island", island).groupBy("file_id", "author_name", "commit_hash", "island").agg(F.min("line_number").cast("long").alias("first_line"), F.max("line_number").cast("long").alias("last_line")).drop("island")
+    own, line = Window.partitionBy("file_id", "author_name", "commit_hash").orderBy("line_number"), F.col("line_number")
+    opens, closes = (F.coalesce(x != 1, F.lit(True)) for x in (line - F.lag(line).over(own), F.lead(line).over(own) - line))
+    ends = b.select("file_id", "author_name", "commit_hash", "line_number", opens.alias("opens"), closes.alias("closes")).where("opens OR closes")
+    last = F.when(F.col("closes"), line).otherwise(F.lead(line).over(own))
+    return ends.withColumn("last", last).where("opens").select("file_id", "author_name", "commit_hash", line.cast("long").alias("first_line"), F.col("last").cast("long").alias("last_line"))
 
 
 def symbol_blame(cat: Catalog, lines: int = 100) -> DataFrame:
