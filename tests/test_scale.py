@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from sparkloom.operators import communities, history
 from sparkloom.plans.catalog import from_tables
 from sparkloom.plans.schema import struct
@@ -64,3 +66,58 @@ def test_c3_of_stacked_diamonds(spark):
     for a, b in rows:
         parents.setdefault(a, []).append(b)
     assert communities.linearise(Told(parents), 0) == list(range(1, 55)) and len(asked) == 55
+
+
+def propagated(calls, rounds, min_size):
+    """Label propagation by definition, every round."""
+    w = {}
+    for a, b, c in calls:
+        for u, v in ((a, b), (b, a)):
+            w.setdefault(u, {})[v] = w.setdefault(u, {}).get(v, 0) + c
+    best = lambda votes: min(votes, key=lambda k: (-round(votes[k], 6), k))
+    label = {u: u for u in w}
+    for _ in range(rounds):
+        new = {}
+        for u, near in w.items():
+            votes = {}
+            for v, c in near.items():
+                votes[label[v]] = votes.get(label[v], 0) + c
+            new[u] = best(votes)
+        label = new
+    size = {c: list(label.values()).count(c) for c in label.values()}
+    pull = {}
+    for u, near in w.items():
+        for v, c in near.items():
+            if size[label[u]] < min_size <= size[label[v]]:
+                to = pull.setdefault(label[u], {})
+                to[label[v]] = to.get(label[v], 0) + c
+    return {u: best(pull[c]) if c in pull else c for u, c in label.items()}
+
+
+def graph(spark, calls):
+    nodes = sorted({x for e in calls for x in e[:2]})
+    symbols = spark.createDataFrame([(n, 1, f"s{n}", f"m.s{n}", "Function", n, 0, n % 2 == 0, None, None) for n in nodes], struct("symbols"))
+    edges = spark.createDataFrame([(i, a, b, "CALLS", float(c), 1, 1) for i, (a, b, c) in enumerate(calls)], struct("edges"))
+    return from_tables(spark, {"symbols": symbols, "edges": edges})
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 3, 4, 9, 10, 20])
+def test_communities_after_every_number_of_rounds(spark, rounds):
+    draw = random.Random(rounds)
+    calls = [(a, b, draw.choice((0.25, 0.5, 1))) for a, b in ((draw.randrange(60), draw.randrange(60)) for _ in range(70)) if a != b]
+    calls += [(100, 101, 1), (110, 111, 1), (111, 112, 1), *((200 + i, 201 + i, 1) for i in range(30))]  # pairs and stars swap for ever, the path takes long
+    got = communities.communities(graph(spark, calls), rounds)
+    assert {r.id: r.community for r in got.collect()} == propagated(calls, rounds, 3)
+
+
+def test_rounds_end_when_labels_swap(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(communities, "checkpoint", lambda df, keep=communities.checkpoint: written.append(df.columns) or keep(df))
+    cat = graph(spark, [(1, 2, 1), (5, 6, 1), (6, 7, 1)])
+    label = communities.communities(cat)
+    assert {r.id: r.community for r in label.collect()} == propagated([(1, 2, 1), (5, 6, 1), (6, 7, 1)], 20, 3)
+    assert len(written) <= 5  # edges, both ways, two blocks and the result
+    for df in (communities.community_graph(cat, label), communities.community_details(cat, label)):
+        df.collect()
+        assert "edge_kind" not in plan(df)
+    assert len(written) <= 5
